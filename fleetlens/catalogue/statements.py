@@ -22,7 +22,6 @@ POLICY = Policy(
     writable_tables=("crm.*", "shop.audit_log"),
     procedures=("shop.pkg.refresh",),
 )
-STMT, DB = F.col("stmt"), F.col("db")
 
 
 def _audit(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,15 +29,15 @@ def _audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_read_only(spark: SparkSession, folder: str) -> DataFrame:
-    return _audit(spark, folder).select("stmt_id", checks.is_read_only(STMT).alias("read_only"))
+    return _audit(spark, folder).select("stmt_id", checks.is_read_only(F.col("stmt")).alias("read_only"))
 
 
 def audit_multi(spark: SparkSession, folder: str) -> DataFrame:
-    return _audit(spark, folder).select("stmt_id", checks.is_multi(STMT).alias("multi"))
+    return _audit(spark, folder).select("stmt_id", checks.is_multi(F.col("stmt")).alias("multi"))
 
 
 def _refs(spark: SparkSession, folder: str) -> DataFrame:
-    return _audit(spark, folder).select("stmt_id", F.explode(checks.table_refs(STMT)).alias("table_name"))
+    return _audit(spark, folder).select("stmt_id", F.explode(checks.table_refs(F.col("stmt"))).alias("table_name"))
 
 
 def audit_table_refs(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +45,7 @@ def audit_table_refs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_tables_allowed(spark: SparkSession, folder: str) -> DataFrame:
-    return _audit(spark, folder).select("stmt_id", checks.tables_allowed(STMT, ["orders", "t", "b"]).alias("allowed"))
+    return _audit(spark, folder).select("stmt_id", checks.tables_allowed(F.col("stmt"), ["orders", "t", "b"]).alias("allowed"))
 
 
 def tables_not_allowed(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,33 +54,33 @@ def tables_not_allowed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_writable(spark: SparkSession, folder: str) -> DataFrame:
-    service = F.create_map(*[F.lit(x) for pair in SERVICES.items() for x in pair])[DB]
-    writable = checks.is_writable(STMT, DB, service, POLICY.writable_tables)
+    service = F.create_map(*[F.lit(x) for pair in SERVICES.items() for x in pair])[F.col("db")]
+    writable = checks.is_writable(F.col("stmt"), F.col("db"), service, POLICY.writable_tables)
     return _audit(spark, folder).select("stmt_id", "db", F.coalesce(writable, F.lit(False)).alias("writable"))
 
 
 def audit_procedures(spark: SparkSession, folder: str) -> DataFrame:
     return _audit(spark, folder).select(
         "stmt_id",
-        checks.is_procedure(STMT).alias("call"),
-        checks.procedure_ref(STMT, DB).alias("procedure_name"),
-        checks.is_executable(STMT, DB, POLICY.procedures).alias("executable"),
+        checks.is_procedure(F.col("stmt")).alias("call"),
+        checks.procedure_ref(F.col("stmt"), F.col("db")).alias("procedure_name"),
+        checks.is_executable(F.col("stmt"), F.col("db"), POLICY.procedures).alias("executable"),
     )
 
 
 def audit_row_cap(spark: SparkSession, folder: str) -> DataFrame:
     return _audit(spark, folder).select(
-        "stmt_id", checks.row_cap(STMT).alias("cap"), checks.cap_too_high(STMT).alias("too_high")
+        "stmt_id", checks.row_cap(F.col("stmt")).alias("cap"), checks.cap_too_high(F.col("stmt")).alias("too_high")
     )
 
 
 def audit_length(spark: SparkSession, folder: str) -> DataFrame:
-    return _audit(spark, folder).select("stmt_id", checks.too_long(STMT, 38).alias("too_long"))
+    return _audit(spark, folder).select("stmt_id", checks.too_long(F.col("stmt"), 38).alias("too_long"))
 
 
 def audit_rewrite(spark: SparkSession, folder: str) -> DataFrame:
     return _audit(spark, folder).select(
-        "stmt_id", *[checks.with_row_cap(STMT, mode, 100).alias(f"as_{mode}") for mode in ("mysql", "fetch", "rownum")]
+        "stmt_id", *[checks.with_row_cap(F.col("stmt"), mode, 100).alias(f"as_{mode}") for mode in ("mysql", "fetch", "rownum")]
     )
 
 
@@ -100,14 +99,14 @@ def audit_verdict_counts(spark: SparkSession, folder: str) -> DataFrame:
 def split_statements(spark: SparkSession, folder: str) -> DataFrame:
     """A script per audited statement: it, a quoted semicolon, a comment and an unfinished rest."""
     tail = F.lit(";\n SELECT ';;' AS x, \";\" AS y ;  ; -- done\n; SELECT 2 ")
-    pieces = _audit(spark, folder).select("stmt_id", F.posexplode(split.split_statements(F.concat(STMT, tail))).alias("pos", "piece"))
+    pieces = _audit(spark, folder).select("stmt_id", F.posexplode(split.split_statements(F.concat(F.col("stmt"), tail))).alias("pos", "piece"))
     return pieces.select("stmt_id", "pos", "piece")
 
 
 def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
     statements = _audit(spark, folder)
-    long = F.concat_ws(" ", STMT, F.repeat(F.lit("/* padding */"), 16))
-    return audit(statements, F.col("stmt_id") + 1_700_000_000_000, DB, F.col("stmt_id") % 100, F.col("stmt_id") % 977, long)
+    long = F.concat_ws(" ", F.col("stmt"), F.repeat(F.lit("/* padding */"), 16))
+    return audit(statements, F.col("stmt_id") + 1_700_000_000_000, F.col("db"), F.col("stmt_id") % 100, F.col("stmt_id") % 977, long)
 
 
 def csv_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -237,45 +237,38 @@ class Views:
         key = F.col("s_suppkey")
         fair = key % 3 == 1
 
-        def resources(memory, cores):
-            return F.struct(memory.alias("memory"), cores.alias("vCores"))
+        def text(*pieces):
+            return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in pieces])
+
+        def resources(name, memory, cores):
+            return text(f', "{name}": {{"memory": ', memory, ', "vCores": ', cores, "}")
 
         def leaf(group, number):
-            used = resources(number * 512 + key, number)
-            return F.struct(
-                F.concat(F.lit("g"), group.cast("string"), F.lit("l"), number.cast("string")).alias("queueName"),
-                F.when(~fair, number.cast("double")).alias("absoluteCapacity"),
-                F.when(fair, used).alias("usedResources"),
-                F.when(~fair, used).alias("resourcesUsed"),
-                F.when(fair & (number % 2 == 0), resources(number * 4096, number * 4)).alias("maxResources"),
-                F.when(fair & (number == 1), resources(number * 1000, number * 2)).alias("fairShare"),
-                F.when(fair, (key + number) % 7).alias("numActiveApps"),
-                F.when(~fair, (key + number) % 7).alias("numActiveApplications"),
+            held = [number * 512 + key, number]
+            limit = F.when(number % 2 == 0, resources("maxResources", number * 4096, number * 4)).otherwise("")
+            share = F.when(number == 1, resources("fairShare", number * 1000, number * 2)).otherwise("")
+            running = (key + number) % 7
+            of_fair = text(resources("usedResources", *held), limit, share, ', "numActiveApps": ', running)
+            of_other = text(
+                resources("resourcesUsed", *held), ', "absoluteCapacity": ', number, ', "numActiveApplications": ', running
             )
+            name = text('{"queueName": "g', group, "l", number, '"')
+            return F.concat(name, F.when(fair, of_fair).otherwise(of_other), F.lit("}"))
 
-        def children(queues):
-            return [
-                F.when(fair, F.struct(queues.alias("queue"))).alias("childQueues"),
-                F.when(~fair, F.struct(queues.alias("queue"))).alias("queues"),
-            ]
+        def children(first, last, queue):
+            queues = F.array_join(F.transform(F.sequence(F.lit(first).cast("bigint"), last), queue), ", ")
+            spelled = F.when(fair, "childQueues").otherwise("queues")
+            return text(', "', spelled, '": {"queue": [', queues, "]}")
 
         def group(number):
-            leaves = F.transform(F.sequence(F.lit(1).cast("bigint"), number + key % 2), lambda i: leaf(number, i))
-            name = F.concat(F.lit("g"), number.cast("string")).alias("queueName")
-            return F.struct(name, (number * 5).cast("double").alias("absoluteCapacity"), *children(leaves))
+            head = text('{"queueName": "g', number, '", "absoluteCapacity": ', number * 5)
+            return F.concat(head, children(1, number + key % 2, lambda i: leaf(number, i)), F.lit("}"))
 
-        groups = F.transform(F.sequence(F.lit(1).cast("bigint"), key % 3 + 2), group)
         kind = F.when(fair, "fairScheduler").when(key % 3 == 0, "capacityScheduler").otherwise("fifoScheduler")
-        root = F.struct(F.lit("root").alias("queueName"), F.lit(100.0).alias("absoluteCapacity"), *children(groups))
-        info = F.struct(
-            kind.alias("type"),
-            F.when(fair, root).alias("rootQueue"),
-            F.when(~fair, F.lit("root")).alias("queueName"),
-            F.when(~fair, F.lit(100.0)).alias("absoluteCapacity"),
-            F.when(~fair, F.struct(groups.alias("queue"))).alias("queues"),
-        )
-        doc = F.struct(F.struct(info.alias("schedulerInfo")).alias("scheduler"))
-        return self.table("supplier").select(key.alias("snapshot"), F.to_json(doc).alias("value"))
+        root = F.concat(F.lit('"queueName": "root", "absoluteCapacity": 100'), children(1, key % 3 + 2, group))
+        info = F.when(fair, text('"rootQueue": {', root, "}")).otherwise(root)
+        doc = text('{"scheduler": {"schedulerInfo": {"type": "', kind, '", ', info, "}}}")
+        return self.table("supplier").select(key.alias("snapshot"), doc.alias("value"))
 
     @property
     def project_pages(self) -> DataFrame:

@@ -1,10 +1,14 @@
-"""Record schemas of the landed snapshots."""
+"""Record schemas of the landed snapshots, as Spark type strings."""
 
-from pyspark.sql import types as T
 
+def _struct(fields: str) -> str:
+    """Fields as written in SQL, ``name type, ...``, as a struct type."""
+    pairs = (field.split(None, 1) for field in fields.split(","))
+    return "struct<" + ", ".join(f"{name}: {kind.strip()}" for name, kind in pairs) + ">"
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+
+def _bigints(names: list[str]) -> str:
+    return ", ".join(f"{name} bigint" for name in names)
 
 
 APPLICATION = _struct(
@@ -18,9 +22,7 @@ APPLICATION = _struct(
     unmanagedApplication boolean, appNodeLabelExpression string, amNodeLabelExpression string,
     trackingUrl string, trackingUI string, amContainerLogs string"""
 )
-APPLICATION_ENVELOPE = T.StructType(
-    [T.StructField("apps", T.StructType([T.StructField("app", T.ArrayType(APPLICATION))]))]
-)
+APPLICATION_ENVELOPE = f"apps struct<app: array<{APPLICATION}>>"
 
 METRIC_NAMES = [
     "appsSubmitted", "appsCompleted", "appsPending", "appsRunning", "appsFailed", "appsKilled",
@@ -30,37 +32,25 @@ METRIC_NAMES = [
     "totalNodes", "activeNodes", "lostNodes", "unhealthyNodes", "decommissioningNodes",
     "decommissionedNodes", "rebootedNodes", "shuffledNodes", "totalNodeLabels",
 ]
-METRICS = T.StructType([T.StructField(name, T.LongType()) for name in METRIC_NAMES])
-METRICS_ENVELOPE = T.StructType([T.StructField("clusterMetrics", METRICS)])
+METRICS_ENVELOPE = f"clusterMetrics {_struct(_bigints(METRIC_NAMES))}"
 
 FILE_STATUS = _struct(
     """pathSuffix string, type string, length bigint, permission string, owner string, `group` string,
     modificationTime bigint, accessTime bigint, blockSize bigint, replication int, childrenNum int,
     fileId bigint, storagePolicy int"""
 )
-LISTING_ENVELOPE = T.StructType(
-    [
-        T.StructField("dir", T.StringType()),
-        T.StructField("FileStatuses", T.StructType([T.StructField("FileStatus", T.ArrayType(FILE_STATUS))])),
-    ]
-)
+LISTING_ENVELOPE = f"dir string, FileStatuses struct<FileStatus: array<{FILE_STATUS}>>"
 
 STORAGE_NUMBERS = [
     "CapacityTotal", "CapacityUsed", "CapacityRemaining", "CapacityUsedNonDFS",
     "BlocksTotal", "TotalLoad", "NumLiveDataNodes", "NumDeadDataNodes",
 ]
-STORAGE_BEAN = T.StructType(
-    [T.StructField("name", T.StringType())]
-    + [T.StructField(name, T.LongType()) for name in STORAGE_NUMBERS]
-    + [T.StructField("LiveNodes", T.StringType())]
-)
-STORAGE_ENVELOPE = T.StructType([T.StructField("beans", T.ArrayType(STORAGE_BEAN))])
+STORAGE_BEAN = _struct(f"name string, {_bigints(STORAGE_NUMBERS)}, LiveNodes string")
+STORAGE_ENVELOPE = f"beans array<{STORAGE_BEAN}>"
 
 NODE_NUMBERS = ["capacity", "usedSpace", "remaining", "nonDfsUsedSpace", "numBlocks", "lastContact"]
-DATA_NODE = T.StructType(
-    [T.StructField(name, T.LongType()) for name in NODE_NUMBERS] + [T.StructField("adminState", T.StringType())]
-)
-LIVE_NODES = T.MapType(T.StringType(), DATA_NODE)
+DATA_NODE = _struct(f"{_bigints(NODE_NUMBERS)}, adminState string")
+LIVE_NODES = f"map<string, {DATA_NODE}>"
 
 PROJECT = _struct("id bigint, name string, description string, createTime string, updateTime string")
 WORKFLOW = _struct(
@@ -75,20 +65,7 @@ TASK = _struct(
 )
 
 
-def page_envelope(row: T.StructType) -> T.StructType:
+def page_envelope(row: str) -> str:
     """One page of a paged answer holding ``row`` records."""
-    data = T.StructType(
-        [
-            T.StructField("totalList", T.ArrayType(row)),
-            T.StructField("total", T.LongType()),
-            T.StructField("currentPage", T.IntegerType()),
-            T.StructField("totalPage", T.IntegerType()),
-        ]
-    )
-    return T.StructType(
-        [
-            T.StructField("code", T.IntegerType()),
-            T.StructField("msg", T.StringType()),
-            T.StructField("data", data),
-        ]
-    )
+    data = f"struct<totalList: array<{row}>, total: bigint, currentPage: int, totalPage: int>"
+    return f"code int, msg string, data {data}"

@@ -80,13 +80,18 @@ def _levels(rooted: DataFrame, keep: list[str], depth: int) -> tuple[DataFrame,
 
 
 def tree_depth(df: DataFrame, text: str = "value") -> int:
-    """A number of levels that covers every tree; one look at the data for usual trees."""
-    depth = FIRST_DEPTH
+    """The number of levels of the deepest tree; one look at the data for usual trees."""
+    looked = FIRST_DEPTH
     while True:
-        levels, names = _levels(_rooted(df, text, []), [], depth)
-        if not levels.filter(F.size(names[-1]) > 0).limit(1).count():
-            return depth
-        depth *= 2
+        levels = _rooted(df, text, []).select(F.array("root").alias("l0"))
+        filled = F.lit(1)
+        for level in range(1, looked + 1):
+            levels = levels.withColumn(f"l{level}", F.flatten(F.transform(f"l{level - 1}", _children)))
+            filled = filled + (F.size(f"l{level}") > 0).cast("int")
+        deepest = levels.agg(F.max(filled)).first()[0] or 1
+        if deepest <= looked:
+            return deepest
+        looked *= 2
 
 
 def unroll_queues(df: DataFrame, text: str = "value", keep: list[str] | None = None, depth: int | None = None) -> DataFrame:
