@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -125,10 +126,11 @@ class GuardedSession:
         began = time.monotonic()
         tag = f"guarded-{uuid.uuid4().hex}"
         expired = threading.Event()
+        jobs = self.session.sparkContext
 
         def expire() -> None:
             expired.set()
-            self.session.interruptTag(tag)
+            jobs.cancelJobsWithTag(tag)
 
         timer = threading.Timer(self.policy.query_timeout, expire)
         df, rows, truncated, code, error = None, 0, False, 200, None
@@ -136,17 +138,17 @@ class GuardedSession:
             body = self._judge(sql)
             self._check_names(body)
             self._open_tables(body)
-            self.session.addTag(tag)
+            jobs.addJobTag(tag)
             timer.start()
             df, truncated, rows = self._rows(body)
         except (Refused, RowLimitExceeded) as refusal:
             code, error = refusal.code, str(refusal)
-        except PySparkException as failure:
+        except (PySparkException, Py4JJavaError) as failure:
             df = None
             code, error = (504, "query timed out") if expired.is_set() else (502, str(failure))
         finally:
             timer.cancel()
-            self.session.removeTag(tag)
+            jobs.removeJobTag(tag)
         cost = int((time.monotonic() - began) * 1000)
         return Result(self.source, sql, df, rows, truncated, cost, code, error)
 
