@@ -52,6 +52,13 @@ def queue_quota(spark: SparkSession, folder: str) -> DataFrame:
     return usage.select("snapshot", "path", "memQuota", "vcoreQuota", "memPct", "vcorePct")
 
 
+def queue_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Queues of every snapshot against the totals of the same snapshot."""
+    metrics = metrics_from_text(Views(spark, folder).metric_documents, keep=["snapshot"])
+    usage = use_of_queues(_unrolled(spark, folder), metrics, ["snapshot"])
+    return usage.select("snapshot", "path", "memQuota", "vcoreQuota", "memPct", "vcorePct", "memSeverity")
+
+
 def leaf_queue_names(spark: SparkSession, folder: str) -> DataFrame:
     return leaf_queues(_unrolled(spark, folder), ["snapshot"])
 
@@ -177,7 +184,7 @@ def remote_error(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        queue_usage, queue_tree, queue_fields, queue_quota, cluster_metrics, datanode_usage, storage_overview, top_nodes,
+        queue_usage, queue_tree, queue_fields, queue_quota, queue_history, cluster_metrics, datanode_usage, storage_overview, top_nodes,
         node_utilisation, node_severity, node_state, fmt_bytes, hdfs_listing, listing_sorted, listing_page, path_resolve,
         path_parts, remote_error,
     ]
@@ -247,6 +254,10 @@ ORACLES = {
     "queue_quota": f"""WITH q AS (SELECT snapshot, path, memory, "vCores", {_quota('"quotaMemory"', '"fairMemory"', '"totalMB"')} AS "memQuota",
  {_quota('"quotaVCores"', '"fairVCores"', '"totalVirtualCores"')} AS "vcoreQuota" FROM {_FIELDS} CROSS JOIN {{cluster_metrics}})
  SELECT snapshot, path, "memQuota", "vcoreQuota", {pct('memory', '"memQuota"')} AS "memPct", {pct('"vCores"', '"vcoreQuota"')} AS "vcorePct" FROM q""",
+    "queue_history": f"""WITH q AS (SELECT snapshot, path, memory, "vCores", {_quota('"quotaMemory"', '"fairMemory"', '(snapshot * 1024 + 4096)')} AS "memQuota",
+ {_quota('"quotaVCores"', '"fairVCores"', '(snapshot % 32 + 8)')} AS "vcoreQuota" FROM {_FIELDS}),
+ p AS (SELECT snapshot, path, "memQuota", "vcoreQuota", {pct('memory', '"memQuota"')} AS "memPct", {pct('"vCores"', '"vcoreQuota"')} AS "vcorePct" FROM q)
+ SELECT *, {_band('"memPct"', 'high', 'medium', 'normal')} AS "memSeverity" FROM p""",
     "leaf_queues": f"""SELECT snapshot, "queueName" FROM {_QUEUES} WHERE depth = 2""",
     "cluster_metrics": f"""WITH m AS (SELECT s_suppkey AS snapshot, s_suppkey * 1024 + 4096 AS "totalMB",
  CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey * 512 ELSE 0 END AS "allocatedMB", s_suppkey % 32 + 8 AS "totalVirtualCores", CAST(0 AS BIGINT) AS "appsRunning" FROM supplier)

@@ -49,8 +49,7 @@ def audit_tables_allowed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tables_not_allowed(spark: SparkSession, folder: str) -> DataFrame:
-    allowed = spark.createDataFrame([("orders",), ("t",), ("b",)], "name string")
-    return checks.disallowed_tables(_refs(spark, folder), allowed)
+    return checks.disallowed_tables(_refs(spark, folder), ["orders", "t", "b"])
 
 
 def audit_writable(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,26 +17,30 @@ def leaf_queues(queues: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return names.orderBy(*keys, F.collate("queueName", "UNICODE"), "queueName")
 
 
-def with_totals(queues: DataFrame, totals: DataFrame) -> DataFrame:
-    """Every queue beside the cluster's totals.
+def with_totals(queues: DataFrame, totals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Every queue beside the cluster's totals, of its own snapshot if ``keys`` name one.
 
-    Totals are summed up to a single row here, which is what makes the broadcast safe.
+    Without keys the totals are folded to a single row here, which is what makes their
+    broadcast safe. With keys both sides are joined on them, queues kept.
     """
-    one_row = totals.agg(
-        F.coalesce(F.max("totalMB"), F.lit(0)).alias("totalMB"),
-        F.coalesce(F.max("totalVirtualCores"), F.lit(0)).alias("totalVirtualCores"),
-    )
-    return queues.crossJoin(F.broadcast(one_row))
+    figures = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("totalMB", "totalVirtualCores")]
+    if keys:
+        return queues.join(totals.groupBy(*keys).agg(*figures), list(keys), "left")
+    return queues.crossJoin(F.broadcast(totals.agg(*figures)))
 
 
-def queue_usage(queues: DataFrame, totals: DataFrame) -> DataFrame:
+def queue_usage(queues: DataFrame, totals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Quota, utilisation and severity of memory and cores of every queue."""
-    rows = with_totals(queues, totals)
-    memory = queue_quota(F.col("scheduler"), F.col("quotaMemory"), F.col("fairMemory"), F.col("absoluteCapacity"), F.col("totalMB"))
-    cores = queue_quota(
-        F.col("scheduler"), F.col("quotaVCores"), F.col("fairVCores"), F.col("absoluteCapacity"), F.col("totalVirtualCores")
+    rows = with_totals(queues, totals, keys)
+    kind, share = F.col("scheduler"), F.col("absoluteCapacity")
+    memory_total, core_total = (F.coalesce(F.col(c), F.lit(0)) for c in ("totalMB", "totalVirtualCores"))
+    memory = queue_quota(kind, F.col("quotaMemory"), F.col("fairMemory"), share, memory_total)
+    cores = queue_quota(kind, F.col("quotaVCores"), F.col("fairVCores"), share, core_total)
+    rows = rows.withColumns({"memQuota": memory, "vcoreQuota": cores})
+    rows = rows.withColumns(
+        {
+            "memPct": utilisation(F.col("memory"), F.col("memQuota")),
+            "vcorePct": utilisation(F.col("vCores"), F.col("vcoreQuota")),
+        }
     )
-    rows = rows.withColumn("memQuota", memory).withColumn("vcoreQuota", cores)
-    rows = rows.withColumn("memPct", utilisation(F.col("memory"), F.col("memQuota")))
-    rows = rows.withColumn("vcorePct", utilisation(F.col("vCores"), F.col("vcoreQuota")))
     return rows.withColumn("memSeverity", severity(F.col("memPct"))).drop("totalMB", "totalVirtualCores")

@@ -18,6 +18,9 @@ from fleetlens.functions import (
 )
 
 
+TASK_PARENT = "processInstanceId"
+
+
 def in_range(df: DataFrame, as_of: datetime, key: str = fixed.DEFAULT_RANGE, column: str = "startTime") -> DataFrame:
     """Rows of the last 1, 3 or 7 days up to ``as_of``, both ends included; other keys keep all.
 
@@ -62,6 +65,15 @@ def _prefixed(df: DataFrame, prefix: str, but: str) -> DataFrame:
     return df.select(*[F.col(c) if c == but else F.col(c).alias(prefix + c) for c in df.columns])
 
 
+def _as_parents(workflows: DataFrame) -> DataFrame:
+    return _prefixed(workflows, "workflow_", "").withColumnRenamed("workflow_id", TASK_PARENT)
+
+
+def without_tasks(workflows: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Workflows that have no tasks; of the tasks only their distinct parents are shuffled."""
+    return _as_parents(workflows).join(tasks.select(TASK_PARENT).distinct(), TASK_PARENT, "left_anti")
+
+
 def expand_tasks(workflows: DataFrame, tasks: DataFrame, how: str = "left") -> DataFrame:
     """One row per workflow and task; ``how="left"`` keeps workflows without tasks.
 
@@ -69,14 +81,10 @@ def expand_tasks(workflows: DataFrame, tasks: DataFrame, how: str = "left") -> D
     is the other one. So matches and workflows without tasks are found apart: the inner join
     can be split on a busy workflow, and the anti join needs only the distinct ids.
     """
-    key = "processInstanceId"
-    parents = _prefixed(workflows, "workflow_", "").withColumnRenamed("workflow_id", key)
-    matched = tasks.join(parents, key)
+    matched = tasks.join(_as_parents(workflows), TASK_PARENT)
     if how == "inner":
         return matched
-    with_tasks = tasks.select(key).distinct()
-    alone = parents.join(with_tasks, key, "left_anti")
-    return matched.unionByName(alone, allowMissingColumns=True)
+    return matched.unionByName(without_tasks(workflows, tasks), allowMissingColumns=True)
 
 
 def mine_app_ids(logs: DataFrame, lines: int | None = fixed.LOG_LINES_MINED) -> DataFrame:
@@ -88,21 +96,25 @@ def mine_app_ids(logs: DataFrame, lines: int | None = fixed.LOG_LINES_MINED) ->
     return logs.select("taskInstanceId", app_id(text).alias("appId"))
 
 
+def with_app_ids(tasks: DataFrame, logs: DataFrame, lines: int | None = fixed.LOG_LINES_MINED) -> DataFrame:
+    """Tasks with the application id their log names."""
+    mined = mine_app_ids(logs, lines)
+    return tasks.join(mined, tasks["id"] == mined["taskInstanceId"], "left").drop("taskInstanceId")
+
+
 def link_apps(
     tasks: DataFrame, logs: DataFrame, apps: DataFrame, rm: str, lines: int | None = fixed.LOG_LINES_MINED
 ) -> DataFrame:
-    """Tasks with the application their log names, and a link to it.
-
-    Most tasks name none. As null join keys they would all meet in one task, so they are
-    spread by their own id under a key no application has.
-    """
-    mined = mine_app_ids(logs, lines)
-    rows = tasks.join(mined, tasks["id"] == mined["taskInstanceId"], "left").drop("taskInstanceId")
-    return with_apps(rows, apps, rm)
+    """Tasks with the application their log names, and a link to it."""
+    return with_apps(with_app_ids(tasks, logs, lines), apps, rm)
 
 
 def with_apps(rows: DataFrame, apps: DataFrame, rm: str, key: str = "id") -> DataFrame:
-    """Rows holding an ``appId`` beside that application's columns, all rows kept."""
+    """Rows holding an ``appId`` beside that application's columns, all rows kept.
+
+    Most logs name no application. As null join keys those rows would all meet in one task,
+    so they are spread by their own key under a name no application is found by.
+    """
     spread = F.coalesce(F.col("appId"), F.concat(F.lit("#"), F.col(key).cast("string")))
     left = rows.withColumn("_key", spread)
     right = _prefixed(apps, "app_", "")

@@ -11,8 +11,8 @@ from fleetlens.operators.workflows import (
     expand_tasks,
     filter_instances,
     in_range,
-    mine_app_ids,
-    with_apps,
+    link_apps,
+    without_tasks,
 )
 
 
@@ -30,10 +30,9 @@ def workflow_drilldown(
     """Recent workflows with their tasks and the application each task's log names.
 
     Filters come first and reach the workflow scan; logs shrink to one id each where they
-    are read; neither texts nor whole applications are grouped anywhere.
+    are read; neither texts nor whole applications are grouped anywhere. Workflows without
+    tasks join nothing and are added at the end.
     """
     recent = filter_instances(in_range(workflows, as_of, key), state, name)
-    rows = expand_tasks(recent, tasks)
-    mined = mine_app_ids(logs)
-    linked = rows.join(mined, rows["id"] == mined["taskInstanceId"], "left").drop("taskInstanceId")
-    return with_apps(linked, apps, rm)
+    linked = link_apps(expand_tasks(recent, tasks, "inner"), logs, apps, rm)
+    return linked.unionByName(without_tasks(recent, tasks), allowMissingColumns=True)

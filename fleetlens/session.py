@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +25,11 @@ def build_session(master: str | None = None, app: str = "fleetlens", **conf: str
     return builder.getOrCreate()
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="fleetlens-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -35,9 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="fleetlens-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _local_dir()
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:

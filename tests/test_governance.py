@@ -86,8 +86,10 @@ def test_tables_allowed(spark):
 def test_disallowed_tables(spark):
     refs = spark.createDataFrame([(1, "shop.orders"), (1, "t"), (2, "x.t"), (3, "z"), (4, "x.y.t")], "s int, table_name string")
     allowed = spark.createDataFrame([("orders",), ("x.t",), ("t",), ("t",)], "name string")
-    got = sorted(tuple(r) for r in checks.disallowed_tables(refs, allowed).collect())
-    assert got == [(3, "z"), (4, "x.y.t")]
+    for given in (allowed, ["orders", "x.t", "t"]):
+        got = sorted(tuple(r) for r in checks.disallowed_tables(refs, given).collect())
+        assert got == [(3, "z"), (4, "x.y.t")]
+    assert checks.disallowed_tables(refs, []).count() == 5
 
 
 def test_writable(spark):

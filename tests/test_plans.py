@@ -85,3 +85,39 @@ def test_shared_folder_is_the_named_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == (named or shared_dir(spark))
     assert work_dir(spark, "x").startswith(shared_dir(spark)) and work_dir(spark, "x") != work_dir(spark, "x")
+
+
+@contextlib.contextmanager
+def settings(spark, **values):
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_a_busy_workflow_is_split(spark):
+    """One workflow holds most tasks: its join is cut into several tasks and loses no row."""
+    from pyspark.sql import functions as F
+
+    from fleetlens.operators.workflows import expand_tasks
+
+    flows = spark.range(2000).select("id", F.lit("w").alias("name"))
+    parent = F.when(F.col("id") % 3 < 2, F.lit(7)).otherwise(F.col("id") % 1500)
+    tasks = spark.range(300_000).select("id", parent.alias("processInstanceId"), F.sha2(F.col("id").cast("string"), 256).alias("name"))
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB",
+    }
+    with settings(spark, **small):
+        df = expand_tasks(flows, tasks)
+        rows = df.collect()
+        text = plan(df)
+    # workflow 7 and every third one below 1500 have tasks
+    assert len(rows) == 300_000 + 1_499 and sum(r.id is None for r in rows) == 1_499
+    assert "skew=true" in text
