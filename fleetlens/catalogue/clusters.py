@@ -9,10 +9,10 @@ from fleetlens.catalogue.applications import tenths
 from fleetlens.catalogue.views import Views, sql
 from fleetlens.operators.listing import listing_keys, sort_listing
 from fleetlens.operators.paging import page
-from fleetlens.operators.queues import leaf_queues, queue_usage as use_of_queues
+from fleetlens.operators.queues import queue_usage as use_of_queues
 from fleetlens.operators.storage import cluster_usage, fullest_first, node_usage
 from fleetlens.plans.overview import queue_overview
-from fleetlens.sources.scheduler import normalise_queue, unroll_queues
+from fleetlens.sources.scheduler import leaf_names, normalise_queue, unroll_queues
 from fleetlens.sources.snapshots import listing_from_text, metrics_from_text, storage_from_text
 
 
@@ -60,7 +60,7 @@ def queue_history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def leaf_queue_names(spark: SparkSession, folder: str) -> DataFrame:
-    return leaf_queues(_unrolled(spark, folder), ["snapshot"])
+    return leaf_names(Views(spark, folder).scheduler_documents, keep=["snapshot"])
 
 
 def cluster_metrics(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,11 @@ from fleetlens.functions import queue_quota, severity, utilisation
 
 
 def leaf_queues(queues: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Names of the queues without children, in language order, per ``keys`` (a snapshot)."""
+    """Names of the queues without children, in language order, per ``keys`` (a snapshot).
+
+    For flat queue tables, which know parents only; straight from the snapshots,
+    ``sources.scheduler.leaf_names`` needs no join.
+    """
     parents = queues.filter(F.col("parent").isNotNull()).select(*keys, F.col("parent").alias("queueName")).distinct()
     leaves = queues.filter(F.col("queueName") != "").join(parents, [*keys, "queueName"], "left_anti")
     names = leaves.select(*keys, "queueName")

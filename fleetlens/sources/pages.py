@@ -2,25 +2,28 @@
 
 Input: one row per landed page with its listing, ``page_no`` (from 1), ``code``, ``msg`` and
 ``data`` (see ``schemas.page_envelope``).
+
+A reader stops after a page that is empty, or that completes the stated total, or that is an
+error, and asks for no more than ``max_pages`` pages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens import fixed
 from fleetlens.operators.running import running_total
+from fleetlens.session import checkpoint
 
+STOPS = "failed OR n = 0 OR seen >= total"
 
-def _reached(pages: DataFrame, keys: list[str], max_pages: int | None) -> DataFrame:
-    """Headers of the pages a reader asks for before it stops.
 
-    It stops after a page that is empty, or that completes the stated total, or that is an
-    error, and never asks for more than ``max_pages`` pages. Only headers take part: no
-    payload is shuffled here.
-    """
+def _headers(pages: DataFrame, keys: Sequence[str], *payload: Column) -> DataFrame:
+    """What decides where a reader stops, beside the payload if that is to come along."""
     rows = F.coalesce(F.size("data.totalList"), F.lit(0)).cast("long")
-    headers = pages.select(
+    return pages.select(
         *keys,
         "page_no",
         F.when(F.col("code") == 0, rows).otherwise(0).alias("n"),
@@ -28,38 +31,60 @@ def _reached(pages: DataFrame, keys: list[str], max_pages: int | None) -> DataFr
         (F.coalesce(F.col("code"), F.lit(-1)) != 0).alias("failed"),
         F.coalesce(F.nullif("msg", F.lit("")), F.lit(fixed.DEFAULT_PAGE_ERROR)).alias("msg"),
         "code",
+        *payload,
     )
-    if max_pages is not None:
-        headers = headers.filter(F.col("page_no") <= max_pages)
-    seen = running_total(headers, keys, "page_no", F.col("n"), "seen")
-    stops = F.col("failed") | (F.col("n") == 0) | (F.col("seen") >= F.col("total"))
-    last = seen.filter(stops).groupBy(*keys).agg(F.min("page_no").alias("last_page"))
-    return (
-        seen.join(last, keys, "left")
-        .filter(F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page")))
-        .drop("last_page")
-    )
 
 
-def page_errors(pages: DataFrame, keys: list[str], max_pages: int | None = fixed.PAGES_PER_LISTING) -> DataFrame:
+def _reached_of_few(headers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pages a reader asks for, where a listing has few: one shuffle, one sort."""
+    pages = Window.partitionBy(*keys).orderBy("page_no")
+    seen = headers.withColumn("seen", F.sum("n").over(pages.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = pages.rowsBetween(Window.unboundedPreceding, -1)
+    stopped = F.coalesce(F.max(F.expr(STOPS)).over(earlier), F.lit(False))
+    return seen.withColumn("_stopped", stopped).filter(~F.col("_stopped")).drop("_stopped")
+
+
+def _reached_of_many(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for listings of any length, which no single task has to hold.
+
+    Several steps need the headers, so these are kept in the shared folder and the pages are
+    parsed for them only once.
+    """
+    headers = checkpoint(_headers(pages, keys))
+    seen = running_total(headers, list(keys), "page_no", F.col("n"), "seen")
+    last = seen.filter(STOPS).groupBy(*keys).agg(F.min("page_no").alias("last_page"))
+    joined = seen.join(last, list(keys), "left")
+    return joined.filter(F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page"))).drop("last_page")
+
+
+def page_errors(
+    pages: DataFrame, keys: Sequence[str], max_pages: int | None = fixed.PAGES_PER_LISTING
+) -> DataFrame:
     """The page at which each failed listing failed, with its code and message."""
-    reached = _reached(pages, keys, max_pages)
+    if max_pages is None:
+        reached = _reached_of_many(pages, keys)
+    else:
+        reached = _reached_of_few(_headers(pages.filter(F.col("page_no") <= max_pages), keys), keys)
     return reached.filter("failed").select(*keys, "page_no", "code", "msg")
 
 
-def union_pages(pages: DataFrame, keys: list[str], max_pages: int | None = fixed.PAGES_PER_LISTING) -> DataFrame:
+def union_pages(
+    pages: DataFrame, keys: Sequence[str], max_pages: int | None = fixed.PAGES_PER_LISTING
+) -> DataFrame:
     """All rows of the pages a reader asks for, with their page and place in it.
 
     A listing that fails on the way has no rows: ask ``page_errors`` for the reason.
     ``max_pages=None`` reads every listing to its end.
     """
-    reached = _reached(pages, keys, max_pages)
-    whole = reached.groupBy(*keys).agg(
-        F.max("page_no").alias("last_page"), F.max("failed").alias("failed")
-    ).filter(~F.col("failed"))
-    rows = pages.filter(F.col("code") == 0)
-    if max_pages is not None:
-        rows = rows.filter(F.col("page_no") <= max_pages)
-    kept = rows.join(whole, keys).filter(F.col("page_no") <= F.col("last_page"))
-    exploded = kept.select(*keys, "page_no", F.posexplode("data.totalList").alias("pos", "row"))
+    if max_pages is None:
+        ends = _reached_of_many(pages, keys).groupBy(*keys).agg(
+            F.max("page_no").alias("last_page"), F.max("failed").alias("_failed")
+        )
+        payload = pages.select(*keys, "page_no", F.col("data.totalList").alias("rows"))
+        kept = payload.join(ends.filter(~F.col("_failed")), list(keys)).filter("page_no <= last_page")
+    else:
+        few = pages.filter(F.col("page_no") <= max_pages)
+        reached = _reached_of_few(_headers(few, keys, F.col("data.totalList").alias("rows")), keys)
+        kept = reached.withColumn("_failed", F.max("failed").over(Window.partitionBy(*keys))).filter(~F.col("_failed"))
+    exploded = kept.select(*keys, "page_no", F.posexplode("rows").alias("pos", "row"))
     return exploded.select(*keys, "page_no", "pos", "row.*")

@@ -59,7 +59,7 @@ def _rooted(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     )
 
 
-def _levels(rooted: DataFrame, keep: list[str], depth: int) -> tuple[DataFrame, list[str]]:
+def _levels(rooted: DataFrame, keep: list[str], depth: int, named_root: bool) -> tuple[DataFrame, list[str]]:
     """``depth`` levels as array columns, the last one being what lies deeper still."""
     name = _text(F.col("root"), "$.queueName")
     top = F.struct(
@@ -70,7 +70,8 @@ def _levels(rooted: DataFrame, keep: list[str], depth: int) -> tuple[DataFrame,
         name.alias("name"),
     )
     # an empty list instead of a filter: Spark would push a filter below the parsing and parse twice
-    roots = F.when(F.coalesce(name, F.lit("")) != "", F.array(top)).otherwise(F.array().cast(NODES))
+    shown = F.coalesce(name, F.lit("")) != "" if named_root else F.col("root").isNotNull()
+    roots = F.when(shown, F.array(top)).otherwise(F.array().cast(NODES))
     df = rooted.select(*keep, "scheduler", roots.alias("l0"))
     names = ["l0"]
     for level in range(1, depth + 1):
@@ -94,16 +95,23 @@ def tree_depth(df: DataFrame, text: str = "value") -> int:
         looked *= 2
 
 
-def unroll_queues(df: DataFrame, text: str = "value", keep: list[str] | None = None, depth: int | None = None) -> DataFrame:
+def unroll_queues(
+    df: DataFrame,
+    text: str = "value",
+    keep: list[str] | None = None,
+    depth: int | None = None,
+    named_root: bool = True,
+) -> DataFrame:
     """One row per queue with its parent, depth and path, beside the raw ``node``.
 
     ``depth`` is the number of levels to unroll. Left out, it is found from the data; given,
-    a deeper tree is an error, never a shorter answer.
+    a deeper tree is an error, never a shorter answer. A tree whose root has no name is left
+    out unless ``named_root`` is off.
     """
     keep = keep or []
     if depth is None:
         depth = tree_depth(df, text)
-    levels, names = _levels(_rooted(df, text, keep), keep, depth)
+    levels, names = _levels(_rooted(df, text, keep), keep, depth, named_root)
     deeper = F.size(names[-1]) > 0
     all_nodes = F.when(deeper, F.raise_error(F.lit(f"a queue tree is deeper than {depth} levels"))).otherwise(
         F.concat(*names[:-1])
@@ -112,6 +120,19 @@ def unroll_queues(df: DataFrame, text: str = "value", keep: list[str] | None = N
     return rows.withColumnRenamed("name", "queueName")
 
 
+def leaf_names(
+    df: DataFrame, text: str = "value", keep: list[str] | None = None, depth: int | None = None
+) -> DataFrame:
+    """Names of the queues without children of every snapshot, in language order.
+
+    Each node knows its own children, so no join is needed; only the order is a shuffle.
+    """
+    keep = keep or []
+    rows = unroll_queues(df, text, keep, depth, named_root=False)
+    leaves = rows.filter((F.size(_children(F.col("node"))) == 0) & (F.coalesce("queueName", F.lit("")) != ""))
+    return leaves.select(*keep, "queueName").orderBy(*keep, F.collate("queueName", "UNICODE"), "queueName")
+
+
 def normalise_queue(df: DataFrame) -> DataFrame:
     """Flat queue columns out of ``node``, whichever spelling the scheduler uses.
 

@@ -94,6 +94,17 @@ def test_scheduler_dialects(spark, folder):
     assert (f.memory, f.quotaMemory, f.fairMemory, f.fairVCores) == (8, 64, None, 2)
 
 
+def test_leaves(spark, folder):
+    from fleetlens.operators.queues import leaf_queues
+
+    nameless = {"type": "capacity", "queues": {"queue": [{"queueName": "z"}, {"queueName": ""}, {"queueName": "Y", "queues": {"queue": []}}]}}
+    docs = [{"scheduler": {"schedulerInfo": i}} for i in (CAPACITY, FAIR, nameless, {"type": "capacity"})]
+    text = spark.read.text(land(folder, "leaves", docs))
+    assert [r.queueName for r in scheduler.leaf_names(text).collect()] == ["a", "b", "f", "Y", "z"]
+    flat = scheduler.unroll_queues(text, keep=["value"])
+    assert sorted(r.queueName for r in leaf_queues(flat, ["value"]).collect()) == ["a", "b", "f"]
+
+
 def test_scheduler_broken_and_missing_documents(spark, folder):
     path = land(folder, "q", ["{broken", {}, {"scheduler": None}])
     assert scheduler.read_scheduler(spark, path).collect() == []
@@ -127,10 +138,11 @@ def test_pages(spark):
         (6, 1, 1, "", None, None),  # fails with no message
     ]
     df = project_pages(spark, rows)
-    got = sorted((r.listing, r.id) for r in pages.union_pages(df, ["listing"]).collect())
-    assert got == [(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (2, 1), (4, 1), (4, 2), (5, 1)]
-    errors = sorted(tuple(r) for r in pages.page_errors(df, ["listing"]).collect())
-    assert errors == [(3, 2, 10113, "no"), (6, 1, 1, "查询失败")]
+    for most in (10, None):
+        got = sorted((r.listing, r.id) for r in pages.union_pages(df, ["listing"], most).collect())
+        assert got == [(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (2, 1), (4, 1), (4, 2), (5, 1)]
+        errors = sorted(tuple(r) for r in pages.page_errors(df, ["listing"], most).collect())
+        assert errors == [(3, 2, 10113, "no"), (6, 1, 1, "查询失败")]
 
 
 def test_pages_limit(spark):
