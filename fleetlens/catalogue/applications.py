@@ -17,7 +17,7 @@ from fleetlens.operators.apps import (
     sort_keys,
 )
 from fleetlens.operators.latest import latest_by
-from fleetlens.operators.paging import page, page_with_total
+from fleetlens.operators.paging import page, page_with_total, with_position
 from fleetlens.session import work_dir
 from fleetlens.sources.snapshots import apps_from_text
 from fleetlens.streaming.latest import read_latest, stream_latest
@@ -75,6 +75,12 @@ def apps_sorted_page(spark: SparkSession, folder: str) -> DataFrame:
     return page(apps, sort_keys(apps, "name"), 0, 1000, "place").select("place", "id", "name")
 
 
+def app_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every application with its place when sorted by name, without a single-task window."""
+    apps = Views(spark, folder).apps.select("id", "name")
+    return with_position(apps, sort_keys(apps, "name"))
+
+
 def apps_by_state(spark: SparkSession, folder: str) -> DataFrame:
     return rollup_apps(Views(spark, folder).apps, ["state"])
 
@@ -137,7 +143,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         apps_snapshot, apps_filtered, apps_running, apps_search, apps_visible, app_facets, facet_union, page_totals,
-        apps_page, apps_sorted_page, apps_by_state, apps_by_queue, latest_app_state, stream_latest_apps,
+        apps_page, apps_sorted_page, app_positions, apps_by_state, apps_by_queue, latest_app_state, stream_latest_apps,
         fmt_timestamp, fmt_elapsed, fmt_mem, state_class,
     ]
 }
@@ -201,6 +207,7 @@ ORACLES = {
  WHERE place BETWEEN 193 AND 256""",
     "apps_sorted_page": """SELECT * FROM (SELECT row_number() OVER (ORDER BY lower(name), name, id) AS place, id, name FROM {apps})
  WHERE place <= 1000""",
+    "app_positions": "SELECT id, name, row_number() OVER (ORDER BY lower(name), name, id) - 1 AS position FROM {apps}",
     "apps_by_state": f"SELECT state, {_ROLLUP} FROM {{apps}} GROUP BY state",
     "apps_by_queue": f"SELECT queue, {_ROLLUP} FROM {{apps}} GROUP BY queue",
     "latest_app_state": _LATEST,

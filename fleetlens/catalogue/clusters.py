@@ -8,7 +8,7 @@ from fleetlens import functions as L
 from fleetlens.catalogue.applications import tenths
 from fleetlens.catalogue.views import Views, sql
 from fleetlens.operators.listing import listing_keys, sort_listing
-from fleetlens.operators.paging import page
+from fleetlens.operators.paging import page, with_position
 from fleetlens.operators.queues import queue_usage as use_of_queues
 from fleetlens.operators.storage import cluster_usage, fullest_first, node_usage
 from fleetlens.plans.overview import queue_overview
@@ -137,6 +137,12 @@ def listing_page(spark: SparkSession, folder: str) -> DataFrame:
     return page(entries, listing_keys(), 1, 20, "place").select("place", "type", "pathSuffix")
 
 
+def listing_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry with its place in the sorted listing of all folders."""
+    entries = Views(spark, folder).hdfs_entries.select("dir", "type", "pathSuffix")
+    return with_position(entries, [F.col("dir").asc(), *listing_keys()])
+
+
 def path_resolve(spark: SparkSession, folder: str) -> DataFrame:
     cwd, typed = F.col("dir"), F.regexp_replace("url", r"\Ahttps?:", "")
     return (
@@ -185,7 +191,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         queue_usage, queue_tree, queue_fields, queue_quota, queue_history, cluster_metrics, datanode_usage, storage_overview, top_nodes,
-        node_utilisation, node_severity, node_state, fmt_bytes, hdfs_listing, listing_sorted, listing_page, path_resolve,
+        node_utilisation, node_severity, node_state, fmt_bytes, hdfs_listing, listing_sorted, listing_page, listing_positions, path_resolve,
         path_parts, remote_error,
     ]
 } | {"leaf_queues": leaf_queue_names}
@@ -280,6 +286,7 @@ ORACLES = {
     "listing_sorted": """SELECT dir, type, "pathSuffix" FROM {hdfs_entries}""",
     "listing_page": """SELECT * FROM (SELECT row_number() OVER (ORDER BY CASE WHEN type = 'DIRECTORY' THEN 0 ELSE 1 END, lower("pathSuffix"), "pathSuffix") AS place,
  type, "pathSuffix" FROM {hdfs_entries}) WHERE place BETWEEN 21 AND 40""",
+    "listing_positions": """SELECT dir, type, "pathSuffix", row_number() OVER (ORDER BY dir, CASE WHEN type = 'DIRECTORY' THEN 0 ELSE 1 END, lower("pathSuffix"), "pathSuffix") - 1 AS position FROM {hdfs_entries}""",
     "path_resolve": f"""SELECT page_id, {_tidy(_URL)} AS absolute, {_tidy(f"concat('/p', page_id % 7, '/a//b', {_URL}, '/')")} AS relative,
  {_tidy(f"concat('/x', {_URL})")} AS from_root, '/' AS root, concat('/p', page_id % 7) AS stay FROM pages""",
     "path_parts": f"""WITH p AS (SELECT page_id, {_tidy(_URL)} AS path FROM pages), s AS (SELECT page_id, path, string_split(substr(path, 2), '/') AS parts FROM p)

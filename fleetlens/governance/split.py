@@ -9,10 +9,10 @@ from fleetlens import fixed
 # One piece: anything up to a semicolon that is outside quotes and comments. All repetitions
 # are possessive, so a script is read once, whatever its length.
 _TEXT = r"[^;'\"/-]++"
-_SINGLE = r"'(?:[^']|'')*+(?:'|\z)"
+_SINGLE = r"'[^']*+(?:''[^']*+)*+(?:'|\z)"
 _DOUBLE = r"\"[^\"]*+(?:\"|\z)"
 _LINE = r"--[^\n]*+"
-_BLOCK = r"/\*(?:(?!\*/)[\s\S])*+(?:\*/|\z)"
+_BLOCK = r"/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)"
 PIECE = rf"(?:{_TEXT}|{_SINGLE}|{_DOUBLE}|{_LINE}|{_BLOCK}|[/-])++;?|;"
 
 
