@@ -6,7 +6,6 @@ what users see, so they are kept together and in plain text.
 
 # --- applications -----------------------------------------------------------------------
 
-APP_STATES = ["ACCEPTED", "RUNNING", "FINISHED", "FAILED", "KILLED"]
 DEFAULT_APP_STATES = ["RUNNING"]
 
 APP_STATE_CLASS = {
@@ -63,8 +62,6 @@ APP_COLUMNS = [
     ("amNodeLabelExpression", False),
 ]
 
-APP_PAGE_SIZES = [16, 32, 64, 1000]
-LIST_PAGE_SIZES = [10, 20, 50, 100]
 REFRESH_SECONDS = [10, 15, 30, 60, 120]
 DEFAULT_REFRESH_SECONDS = 30
 
@@ -105,7 +102,6 @@ RANGE_HOURS = {"1d": 24, "3d": 72, "7d": 168}
 DEFAULT_RANGE = "3d"
 
 PAGES_PER_LISTING = 10
-ROWS_PER_LISTING_PAGE = 100
 DEFAULT_PAGE_ERROR = "查询失败"
 
 LOG_LINES_PER_READ = 500

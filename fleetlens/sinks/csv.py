@@ -30,8 +30,8 @@ def header_line(columns: list[str]) -> str:
     return ",".join(quoted(c) for c in columns)
 
 
-def _check_columns(df: DataFrame) -> None:
-    if not df.columns:
+def _check_columns(df: DataFrame | None) -> None:
+    if df is None or not df.columns:
         raise ValueError("nothing to export: the result has no columns")
     if len(set(df.columns)) != len(df.columns):
         raise ValueError("nothing exported: column names repeat")
@@ -52,7 +52,7 @@ def export_csv(df: DataFrame, path: str) -> None:
     )
 
 
-def export_result(df: DataFrame, path: str, most: int = fixed.MAX_ROW_LIMIT) -> None:
+def export_result(df: DataFrame | None, path: str, most: int = fixed.MAX_ROW_LIMIT) -> None:
     """A capped query result as a single file with a byte-order mark, for spreadsheets.
 
     Only for results no longer than the row cap: a single file is written by a single task.

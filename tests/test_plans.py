@@ -121,3 +121,15 @@ def test_a_busy_workflow_is_split(spark):
     # workflow 7 and every third one below 1500 have tasks
     assert len(rows) == 300_000 + 1_499 and sum(r.id is None for r in rows) == 1_499
     assert "skew=true" in text
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        def __init__(self, **conf):
+            self.conf = conf
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session(**{"spark.master": "yarn"}))
+    assert shared_dir(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///work"})) == "hdfs:///work"
+    local = shared_dir(Session(**{"spark.master": "local[2]"}))
+    assert local and local == shared_dir(Session(**{"spark.master": "local[4]"}))

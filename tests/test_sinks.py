@@ -45,6 +45,8 @@ def test_export_in_parts(rows, folder):
 def test_exports_refuse_repeated_names(spark, folder):
     with pytest.raises(ValueError, match="repeat"):
         csv.export_csv(spark.sql("SELECT 1 AS a, 2 AS a"), f"{folder}/x")
+    with pytest.raises(ValueError, match="nothing to export"):
+        csv.export_result(None, f"{folder}/x")
 
 
 def test_file_names():
