@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 from fleetlens import fixed
 
 MINUTE_MS, HOUR_MS, DAY_MS = 60_000, 3_600_000, 86_400_000
+LAST_INSTANT_MS = 8_640_000_000_000_000  # the furthest a browser date goes, either way
 
 
 def to_millis(at: datetime | int) -> int:
@@ -50,9 +51,18 @@ def _missing(x: Column) -> Column:
 
 
 def format_timestamp(ms: Column, as_of: datetime | int, humanize: bool = True) -> Column:
-    """Date, time and age; a zero or missing instant is not available."""
-    text = F.concat(utc_text(ms), F.lit(" ("), age_text(ms, as_of), F.lit(")")) if humanize else ms.cast("string")
-    return F.when(_missing(ms), fixed.NOT_AVAILABLE).otherwise(text)
+    """Date, time and age; a zero or missing instant is not available.
+
+    A number too large for a date is shown as such, so that one bad record cannot fail a job.
+    """
+    if not humanize:
+        return F.when(_missing(ms), fixed.NOT_AVAILABLE).otherwise(ms.cast("string"))
+    text = F.concat(utc_text(ms), F.lit(" ("), age_text(ms, as_of), F.lit(")"))
+    return (
+        F.when(_missing(ms), fixed.NOT_AVAILABLE)
+        .when(ms.between(-LAST_INSTANT_MS, LAST_INSTANT_MS), text)
+        .otherwise("Invalid Date")
+    )
 
 
 def format_elapsed(ms: Column, humanize: bool = True) -> Column:

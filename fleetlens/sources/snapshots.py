@@ -2,7 +2,8 @@
 
 Each reader has two faces: one over files of JSON lines and one over a column of JSON
 text (landed through a queue or a table). Both only project and explode, so a snapshot
-never leaves the task that read it, and unused fields are not parsed.
+never leaves the task that read it, and unused fields are not parsed. The file face also
+reads a stream of landing files, and with ``stamped`` keeps when each file landed.
 """
 
 from __future__ import annotations
@@ -12,6 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fleetlens import schemas
 
 
+def _landed(spark: SparkSession, path: str, schema: str, stream: bool, stamped: bool) -> tuple[DataFrame, list[str]]:
+    """Landed documents, as a table or as a stream, and the columns to keep beside their rows."""
+    docs = (spark.readStream if stream else spark.read).schema(schema).json(path)
+    if not stamped:
+        return docs, []
+    return docs.withColumn("landed", F.col("_metadata.file_modification_time")), ["landed"]
+
+
 def _parsed(df: DataFrame, text: str, schema, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.from_json(text, schema).alias("doc"))
 
@@ -20,9 +29,10 @@ def _apps(df: DataFrame, envelope: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.inline(f"{envelope}.app"))
 
 
-def read_apps(spark: SparkSession, path: str) -> DataFrame:
+def read_apps(spark: SparkSession, path: str, stream: bool = False, stamped: bool = False) -> DataFrame:
     """One row per application of every envelope; an envelope without applications adds none."""
-    return _apps(spark.read.schema(schemas.APPLICATION_ENVELOPE).json(path), "apps", [])
+    docs, keep = _landed(spark, path, schemas.APPLICATION_ENVELOPE, stream, stamped)
+    return _apps(docs, "apps", keep)
 
 
 def apps_from_text(df: DataFrame, text: str = "value", keep: list[str] | None = None) -> DataFrame:
@@ -35,9 +45,10 @@ def _metrics(df: DataFrame, envelope: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, *zeros)
 
 
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+def read_metrics(spark: SparkSession, path: str, stream: bool = False, stamped: bool = False) -> DataFrame:
     """One row of cluster metrics per snapshot; what is missing is 0."""
-    return _metrics(spark.read.schema(schemas.METRICS_ENVELOPE).json(path), "clusterMetrics", [])
+    docs, keep = _landed(spark, path, schemas.METRICS_ENVELOPE, stream, stamped)
+    return _metrics(docs, "clusterMetrics", keep)
 
 
 def metrics_from_text(df: DataFrame, text: str = "value", keep: list[str] | None = None) -> DataFrame:
@@ -49,9 +60,10 @@ def _listing(df: DataFrame, folder: str, envelope: str, keep: list[str]) -> Data
     return df.select(*keep, F.col(folder).alias("dir"), F.inline(f"{envelope}.FileStatus"))
 
 
-def read_listing(spark: SparkSession, path: str) -> DataFrame:
+def read_listing(spark: SparkSession, path: str, stream: bool = False, stamped: bool = False) -> DataFrame:
     """One row per entry of every listed folder; an absent listing adds none."""
-    return _listing(spark.read.schema(schemas.LISTING_ENVELOPE).json(path), "dir", "FileStatuses", [])
+    docs, keep = _landed(spark, path, schemas.LISTING_ENVELOPE, stream, stamped)
+    return _listing(docs, "dir", "FileStatuses", keep)
 
 
 def listing_from_text(df: DataFrame, text: str = "value", keep: list[str] | None = None) -> DataFrame:
@@ -84,10 +96,12 @@ def _nodes(df: DataFrame, beans: str, keep: list[str]) -> DataFrame:
     return rows.filter(F.col("capacity") > 0)
 
 
-def read_storage(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_storage(
+    spark: SparkSession, path: str, stream: bool = False, stamped: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Cluster figures and live nodes of every storage snapshot."""
-    docs = spark.read.schema(schemas.STORAGE_ENVELOPE).json(path)
-    return _cluster(docs, "beans", []), _nodes(docs, "beans", [])
+    docs, keep = _landed(spark, path, schemas.STORAGE_ENVELOPE, stream, stamped)
+    return _cluster(docs, "beans", keep), _nodes(docs, "beans", keep)
 
 
 def storage_from_text(

@@ -34,6 +34,8 @@ def test_timestamp(spark):
         (NOW - 86_399_999, "2024-01-01 00:00:00 (23 小时前)"),
         (NOW - 86_400_000, "2024-01-01 00:00:00 (1 天前)"),
         (NOW + 5_000, "2024-01-02 00:00:05 (刚刚)"),
+        (-(1 << 63), "Invalid Date"),
+        ((1 << 63) - 1, "Invalid Date"),
     ]
     all_of(spark, cases, "bigint", lambda c: L.format_timestamp(c, AS_OF))
     all_of(spark, [(0, "n/a"), (12, "12")], "bigint", lambda c: L.format_timestamp(c, AS_OF, humanize=False))

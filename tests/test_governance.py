@@ -199,6 +199,8 @@ VERDICTS = [
     ("src", "insert into t values (1);", 200, "ok"),
     ("src", "insert into u values (1)", 403, "not writable"),
     ("src", "drop", 403, "not writable"),
+    ("src", None, 403, "not writable"),
+    ("src", "", 403, "not writable"),
     ("src", "select * from v", 403, "table not allowed"),
     ("src", "select * from t limit 1001", 400, "row limit too high"),
     ("src", "select * from x.t limit 1000", 200, "ok"),

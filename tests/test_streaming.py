@@ -52,3 +52,23 @@ def test_refresh_is_one_of_the_offered(spark, folder):
     query = stream_latest(stream, ["k"], "seq", f"{folder}/s", f"{folder}/p", every_seconds=10)
     assert query.isActive
     query.stop()
+
+
+def test_landed_application_files_as_a_stream(spark, folder):
+    """The newest landed answer about an application wins, whatever order the files are read in."""
+    import json
+    import os
+
+    from fleetlens.sources.snapshots import read_apps
+
+    os.makedirs(f"{folder}/landing")
+    states = {"a.json": ("KILLED", 3000), "b.json": ("RUNNING", 2000), "c.json": ("ACCEPTED", 1000)}
+    for name, (state, landed) in states.items():
+        path = f"{folder}/landing/{name}"
+        with open(path, "w") as out:
+            json.dump({"apps": {"app": [{"id": "a1", "state": state}, {"id": f"only-{name}", "state": state}]}}, out)
+        os.utime(path, (landed, landed))
+    apps = read_apps(spark, f"{folder}/landing", stream=True, stamped=True).select("id", "landed", "state")
+    stream_latest(apps, ["id"], "landed", f"{folder}/sink", f"{folder}/progress", every_seconds=None).awaitTermination()
+    got = {r.id: r.state for r in read_latest(spark, f"{folder}/sink", ["id"], "landed").collect()}
+    assert got == {"a1": "KILLED", "only-a.json": "KILLED", "only-b.json": "RUNNING", "only-c.json": "ACCEPTED"}
