@@ -31,24 +31,15 @@ def _with(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _sorted_longs(values: Column) -> Column:
-    return F.sort_array(values)
-
-
 def signature(text: Column) -> Column:
     """Array of ``BINS`` hashes, null where a bin is empty. Texts of fewer than ``KMER`` words are one k-mer; no words, no bins."""
 
     def kmers(words: Column) -> Column:
-        parts = [words] if KMER == 1 else [F.get(words, F.lit(0))]
-        del parts
-        many = F.transform(
-            F.slice(words, F.lit(1), F.greatest(F.size(words) - (KMER - 1), F.lit(1))),
-            lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, KMER))),
-        )
-        return many
+        firsts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (KMER - 1), F.lit(1)))
+        return F.transform(firsts, lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, KMER))))
 
     def by_hash(kmers: Column) -> Column:
-        return _sorted_longs(F.transform(kmers, lambda h, i: F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))))
+        return F.sort_array(F.transform(kmers, lambda h, i: F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))))
 
     def ranked(kmers: Column, run: Column) -> Column:
         size = F.size(run)
@@ -77,13 +68,13 @@ def signature(text: Column) -> Column:
             rank = F.shiftrightunsigned(F.xxhash64(F.get(kmers, place.cast("int")), number), 2)
             return rank.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(place)
 
-        return _sorted_longs(F.transform(run, one))
+        return F.sort_array(F.transform(run, one))
 
     def chosen(ranked: Column) -> Column:
         bin_of = lambda x: F.shiftright(x, 62 - BIN_BITS)
         kept = F.filter(ranked, lambda x, i: (i < PICKED) | (bin_of(F.get(ranked, i - PICKED)) != bin_of(x)))
         in_text_order = F.transform(kept, lambda x: F.shiftleft(bin_of(x), _PLACE_BITS).bitwiseOR(x.bitwiseAND(F.lit(_PLACE))))
-        return _sorted_longs(in_text_order)
+        return F.sort_array(in_text_order)
 
     def tuples(kmers: Column, picked: Column) -> Column:
         bin_of = lambda x: F.shiftright(x, _PLACE_BITS)
@@ -98,17 +89,17 @@ def signature(text: Column) -> Column:
     empty = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.lit(None).cast("long"))
     whole = lambda words: _with(
         kmers(words),
-        lambda k: _with(by_hash(k), lambda run: _with(chosen(ranked(k, run)), lambda picked: tuples(k, picked))),
+        lambda k: _with(
+            by_hash(k), lambda run: _with(ranked(k, run), lambda r: _with(chosen(r), lambda picked: tuples(k, picked)))
+        ),
     )
     return _with(words_between(text, SPACE_CLASS), lambda w: F.when(F.size(w) > 0, whole(w)).otherwise(empty))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of the bins that either text fills in which both agree; 1 for two texts without words."""
-    pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
     both = F.zip_with(a, b, lambda x, y: F.when(x.eqNullSafe(y) & x.isNotNull(), 1).otherwise(0))
     either = F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), 1).otherwise(0))
-    del pairs
     total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
     return F.when(total(either) == 0, F.lit(1.0)).otherwise(total(both) / total(either))
 
@@ -123,3 +114,65 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of ``docs``: doc_id, signature, fingerprint. Null texts are empty; other columns are ignored."""
     signed = docs.select(F.col(id_col).alias("doc_id"), signature(text_of(text_col)).alias("signature"))
     return signed.withColumn("fingerprint", printed(F.col("signature")))
+
+
+def _cells(ids: DataFrame, cell_rows: int, most: int) -> tuple[str, str, str]:
+    """SQL for the cell of ``doc_id``, whether it is the largest id of its cell, and the cell that it follows on to.
+
+    Cells are ranges of ids of about ``cell_rows`` rows; their number has the fixed bound ``most``, and only one id for
+    each reaches the driver.
+    """
+    rows = ids.count()
+    cells = max(1, min(most, -(-rows // cell_rows)))
+    shares = ", ".join(str(i / cells) for i in range(1, cells)) or "0.5"
+    cuts = ids.agg(F.expr(f"percentile_approx(doc_id, array({shares}), {max(10_000, 20 * cells)})")).first()[0] or []
+    bounds = f"array({', '.join(f'{c}L' for c in sorted(set(cuts)))})" if cuts else "cast(array() as array<bigint>)"
+    steps = f"sequence(1, {max(1, len(cuts)).bit_length() + 1})"
+    halve = f"(a, s) -> IF(a.lo < a.hi, IF(get({bounds}, (a.lo + a.hi) div 2) <= doc_id, "
+    halve += "named_struct('lo', cast((a.lo + a.hi) div 2 + 1 as int), 'hi', a.hi), named_struct('lo', a.lo, 'hi', cast((a.lo + a.hi) div 2 as int))), a)"
+    cell = f"IF(doc_id IS NULL, -1, aggregate({steps}, named_struct('lo', 0, 'hi', {len(set(cuts))}), {halve}, a -> a.lo))"
+    tops = ids.select(F.expr(cell).alias("cell"), "doc_id").groupBy("cell").agg(F.max("doc_id").alias("top")).orderBy("cell").collect()
+    if not tops:
+        return cell, "false", "0"
+    first = ", ".join(f"{t['top']}L" for t in tops if t["top"] is not None)
+    is_first = f"doc_id IN ({first})" if first else "false"
+    if tops[0]["top"] is None:
+        is_first = f"(doc_id IS NULL OR {is_first})"
+    names = [t["cell"] for t in tops]
+    before = [0] * (names[-1] + 2)
+    for at, name in enumerate(names):
+        before[name + 1] = names[at + 1] if at + 1 < len(names) else names[0]
+    return cell, is_first, f"get(array({', '.join(map(str, before))}), _cell + 1)"
+
+
+def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = CELL_ROWS, most_cells: int = 65_536) -> DataFrame:
+    """Each row of ``docs`` beside its edited text and the next document, descending id (after the last: the first).
+
+    The edited text is the text with its last third replaced by as many first characters of the next one. Returns doc_id,
+    n_chars, edited, signature, edited_signature, near_edited, near_next. Null texts are empty, null ids come last, rows of
+    one id are ordered by their text, and a lone document is its own next. An empty table gives an empty table.
+
+    Rows are dealt once, by ranges of ids; the first row of each range is copied to the end of the range before it.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    cell, is_first, follows = _cells(docs.select("doc_id"), cell_rows, most_cells)
+    signed = docs.withColumn("signature", signature(F.col("text"))).withColumn("_cell", F.expr(cell))
+    own = F.array(F.struct(F.col("_cell").alias("cell"), F.lit(False).alias("ahead")))
+    ahead = F.array(F.struct(F.expr(follows).alias("cell"), F.lit(True).alias("ahead")))
+    dealt = signed.withColumn("_to", F.explode(F.when(F.expr(is_first), F.concat(own, ahead)).otherwise(own)))
+    order = Window.partitionBy("_to.cell").orderBy("_to.ahead", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    paired = dealt.withColumn("_next", F.lead(F.struct("text", "signature")).over(order)).where(~F.col("_to.ahead"))
+    n = F.char_length("text")
+    moved = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - moved), F.substring("_next.text", F.lit(1), moved))
+    both = paired.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "signature", F.col("_next.signature").alias("_next"))
+    both = both.withColumn("edited_signature", signature(F.col("edited")))
+    return both.select(
+        "doc_id",
+        "n_chars",
+        "edited",
+        "signature",
+        "edited_signature",
+        likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        likeness(F.col("signature"), F.col("_next")).alias("near_next"),
+    )
