@@ -33,7 +33,7 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other"))
     back = links.select(F.col("b").alias("node"), F.col("a").alias("other"))
     seen = both.union(back) if larger else back
-    lowest = seen.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("low"))
+    lowest = seen.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("low"))
     joined = seen.join(lowest, "node")
     if larger:
         tied = joined.where("other > node").select(F.col("low").alias("a"), F.col("other").alias("b"))

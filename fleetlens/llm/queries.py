@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.llm.byte_bpe import round_trip
 from fleetlens.llm.decontamination import find_contamination
+from fleetlens.llm.language_model import score_texts
 from fleetlens.llm.order_minhash import compare_edits, printed
+from fleetlens.llm.pii import scan_personal_data
+from fleetlens.llm.quality import classify
 from fleetlens.llm.secret_scan import scan_secrets
 from fleetlens.llm.sharding import shard_rows
+from fleetlens.llm.simhash import near_groups
+from fleetlens.llm.substrings import remove_repeats
 
 SHARDS = 24
 
@@ -17,6 +23,24 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    left = remove_repeats(_table(spark, folder, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(_table(spark, folder, "documents"))
+
+
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    grouped = near_groups(_table(spark, folder, "documents"))
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = scan_secrets(_table(spark, folder, "documents"))
     digest = F.sha2(F.col("base_spans"), 256).alias("base_sha256")
@@ -30,6 +54,12 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_personal_data(_table(spark, folder, "documents"))
+    digest = F.sha2("base_spans", 256).alias("base_sha256")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", digest, "spans")
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = find_contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.select(
@@ -55,11 +85,28 @@ def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tokenizer() -> tuple[str, str]:
+    """Path and pattern of the byte-level vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(_table(spark, folder, "documents"), *tokenizer())
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_substrings": op2_substrings,
+    "op3_language_model": op3_language_model,
+    "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op6_sharding": op6_sharding,
+    "op7_personal_data": op7_personal_data,
     "op8_decontamination": op8_decontamination,
     "op9_order_minhash": op9_order_minhash,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}

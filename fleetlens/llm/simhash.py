@@ -141,23 +141,30 @@ def keyed(fingerprint: np.ndarray, groups: list[list[int]], limits: list[int], b
 
 
 def _linked(values: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links among the values: only members of different trees are compared."""
+    """A spanning forest of the links among the values.
+
+    Values outside the largest tree are compared with all, those inside never with each other: once every value outside
+    has had its turn no link between two trees can be left.
+    """
     label = np.arange(len(values))
-    open_ = np.ones(len(values), bool)
+    waiting = np.ones(len(values), bool)
     while True:
-        names, counts = np.unique(label, return_counts=True)
-        if len(names) == 1:
-            return
-        outside = np.flatnonzero(open_ & (label != names[counts.argmax()]))
+        large = np.bincount(label).argmax()
+        outside = np.flatnonzero(waiting & (label != large))
         if not len(outside):
             return
-        at = outside[0]
-        open_[at] = False
-        near = np.flatnonzero((np.bitwise_count(values ^ values[at]) <= bits) & (label != label[at]))
-        for other in near:
-            if label[other] != label[at]:
-                yield at, other
-                label[label == label[other]] = label[at]
+        for at in outside:
+            if label[at] == large:
+                continue
+            waiting[at] = False
+            near = np.flatnonzero((np.bitwise_count(values ^ values[at]) <= bits) & (label != label[at]))
+            if not len(near):
+                continue
+            trees, firsts = np.unique(label[near], return_index=True)
+            for first in firsts:
+                yield at, near[first]
+            joined = np.append(trees, label[at])
+            label[np.isin(label, joined)] = large if large in joined else label[at]
 
 
 def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list[pd.DataFrame]]]:
