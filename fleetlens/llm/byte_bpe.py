@@ -174,9 +174,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 _DECODE = """
-SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex
-FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) JOIN vocabulary USING (id)
-GROUP BY doc
+SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM coded JOIN vocabulary USING (id) GROUP BY doc
 """
 
 
@@ -187,8 +185,11 @@ def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", id
     def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in batches:
             con = _coder(path, pattern).con
-            con.register("coded", pd.DataFrame({"doc": range(len(ids)), "ids": [[] if i is None else list(i) for i in ids]}))
-            found = con.execute(_DECODE).fetchall() if sum(len(i) for i in ids if i is not None) else []
+            rows = [np.asarray([] if i is None else i, np.int64) for i in ids]
+            flat = np.concatenate([np.empty(0, np.int64), *rows])
+            doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            con.register("coded", pd.DataFrame({"doc": doc, "pos": np.arange(len(flat)), "id": flat}))
+            found = con.execute(_DECODE).fetchall()
             con.unregister("coded")
             out = [b""] * len(ids)
             for doc, text in found:
