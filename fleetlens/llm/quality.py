@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import SPACE_CLASS, ascii_lower, text_of
+from fleetlens.llm.common import SPACE_CLASS, text_of
 
 CLASSES = ("clean", "junk", "toxic")
 LABELLERS = ("short", "symbols", "capitals", "stutter", "variety", "lines", "lengths", "cue_words", "cue_starts")
@@ -27,9 +27,14 @@ _FOR = np.array([1, 1, 1, 1, 1, 1, 1, 2, 2])
 LABELLED_SAMPLE, TRAINING_SAMPLE = 4_000, 6_000
 HASH_BITS = 16
 #: Least share of toxic rows a cue occurs in, and least share of its rows that are toxic.
-CUE_SHARE, CUE_PRECISION = 0.01, 0.95
-STARTS = (4, 5)
+CUE_SHARE, CUE_PRECISION = 0.01, 0.99
+#: Least surprise of a cue: log chance of so many toxic rows if it were as common there as in the other rows.
+CUE_SURPRISE = 14.0
+#: A labeller fires on clean documents this often at most; without a bound two classes may swap their meaning.
+MOST_FALSE = 0.01
+STARTS = (4, 5, 6, 7)
 _SYMBOLS = re.compile(r"[^\w\s]{2,}|(?<=\s)[|~^<>=*#](?=\s)")
+_EDGES = r"^\p{Punct}+|\p{Punct}+$"
 _TRIM = ".,;:!?\"'()[]"
 
 
@@ -45,7 +50,7 @@ def votes_of(text: str | None, words: frozenset[str], starts: frozenset[str]) ->
         fired |= 2
     if sum(map(str.isupper, tokens)) > 0.2 * n:
         fired |= 4
-    if sum(map(str.__eq__, tokens, tokens[1:])) > 0.05 * n:
+    if sum(map(str.__eq__, tokens, tokens[1:])) > max(2, 0.08 * n):
         fired |= 8
     if len(distinct) < 0.12 * n and n >= 30:
         fired |= 16
@@ -77,7 +82,7 @@ def learn_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100
         total = weight.sum(axis=0)
         share = (total + 1) / (total.sum() + 3)
         chance = (weight.T @ fired + 0.02) / (total[:, None] + 1)
-        chance[0] = np.minimum(chance[0], 0.2)  # a labeller that fires says not clean
+        chance[0] = np.minimum(chance[0], MOST_FALSE)
     return share, chance
 
 
@@ -114,7 +119,7 @@ def _scores(rows: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
     return out / out.sum(axis=1, keepdims=True)
 
 
-def train_scorer(rows: list[np.ndarray], targets: np.ndarray, rounds: int = 80, rate: float = 0.3) -> np.ndarray:
+def train_scorer(rows: list[np.ndarray], targets: np.ndarray, rounds: int = 50, rate: float = 0.3) -> np.ndarray:
     """Weights of a linear scorer with the posteriors as soft targets, by adaptive gradient steps."""
     weights, seen = np.zeros((_WIDTH, 3)), np.full((_WIDTH, 3), 1e-6)
     if not rows:
@@ -134,25 +139,31 @@ def train_scorer(rows: list[np.ndarray], targets: np.ndarray, rounds: int = 80,
     return weights
 
 
+def _starts(length: int) -> Column:
+    return F.transform("bare", lambda w: F.concat(F.lit("^"), F.substring(w, 1, length)))
+
+
 def mine_cues(docs: DataFrame, labels: DataFrame, sample: int = LABELLED_SAMPLE) -> tuple[frozenset[str], frozenset[str]]:
     """Words, and starts of words, that tell toxic rows from others among at most ``2 * sample`` labelled rows."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", (F.col("toxic") > 0).alias("toxic"))
     some = [known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for kind in (True, False)]
     chosen = some[0].union(some[1]).distinct()  # at most 2 * sample short rows
-    words = F.array_distinct(F.split(ascii_lower(text_of("text")), SPACE_CLASS))
-    bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"^[\p{Punct}]+|[\p{Punct}]+$", ""))
-    starts = F.flatten(F.transform(bare, lambda w: F.array(*(F.when(F.char_length(w) >= k, F.substring(w, 1, k)) for k in STARTS))))
-    cues = F.concat(F.transform(bare, lambda w: F.struct(F.lit(0).alias("start"), w.alias("cue"))), F.transform(starts, lambda w: F.struct(F.lit(1).alias("start"), w.alias("cue"))))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.explode(F.array_distinct(cues)).alias("c"))
+    words = F.array_distinct(F.split(F.lower(text_of("text")), SPACE_CLASS))
+    bare = F.array_distinct(F.transform(words, lambda w: F.regexp_replace(w, _EDGES, "")))
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", bare.alias("bare"))
+    rows = joined.select("toxic", F.explode(F.array_distinct(F.concat("bare", *map(_starts, STARTS)))).alias("c"))
     counted = rows.groupBy("c").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
     sizes = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(True, 0), sizes.get(False, 0)
     if not bad:
         return frozenset(), frozenset()
     rate_bad, rate_good = F.col("bad") / bad, (F.col("good") + 0.5) / (good + 1)
-    kept = counted.where((rate_bad >= CUE_SHARE) & (F.col("bad") >= 3) & (rate_bad / (rate_bad + rate_good) >= CUE_PRECISION) & (F.char_length("c.cue") >= 3))
-    found = kept.select("c.start", "c.cue").collect()  # at most 1 / CUE_SHARE of the distinct words of a row
-    return frozenset(r.cue for r in found if not r.start), frozenset(r.cue for r in found if r.start)
+    expected = (F.col("good") + 1) / (good + 1) * bad
+    surprise = F.col("bad") * F.log(F.col("bad") / expected) - (F.col("bad") - expected)
+    telling = (rate_bad >= CUE_SHARE) & (rate_bad / (rate_bad + rate_good) >= CUE_PRECISION) & (surprise >= CUE_SURPRISE)
+    kept = counted.where(telling & (F.char_length("c") >= 4))
+    found = [r.c for r in kept.select("c").collect()]  # at most 1 / CUE_SHARE of the distinct words of a row
+    return frozenset(c for c in found if c[0] != "^"), frozenset(c[1:] for c in found if c[0] == "^")
 
 
 class Model:

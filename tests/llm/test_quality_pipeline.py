@@ -31,7 +31,7 @@ def test_scorer_learns_soft_targets():
 
 def test_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
-    rows = classify(docs, labels).join(labels, "doc_id").collect()
+    rows = classify(docs, labels).select("doc_id", "keep").join(labels, "doc_id").collect()
     assert len(rows) == labels.count()
     clean = [r.keep for r in rows if r.quality == 1 and not r.toxic]
     junk = [not r.keep for r in rows if r.quality == 0]
