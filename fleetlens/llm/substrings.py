@@ -90,40 +90,51 @@ def _described(docs: DataFrame) -> DataFrame:
     return docs.select("doc", describe("text").alias("d")).select("doc", "d.*")
 
 
-def _table(parts: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame({name: np.concatenate([p[name] for p in parts]) for name in parts[0]})
+def _tables(parts: Iterator[dict], rows: int = 200_000) -> Iterator[pd.DataFrame]:
+    """The parts put together to tables of about ``rows`` rows, so that what a worker holds does not follow the batch size."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(next(iter(part.values())))
+        if size >= rows:
+            yield pd.DataFrame({name: np.concatenate([p[name] for p in held]) for name in held[0]})
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame({name: np.concatenate([p[name] for p in held]) for name in held[0]})
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Hashes of the anchors of each text of at least one window, with the key of the text."""
-    for batch in batches:
-        parts = []
-        for text in batch["text"]:
-            words = _words(text)
-            if len(words) >= WINDOW:
-                found = np.unique(_windows(_word_hashes(words), _anchor_starts(len(words)), ANCHOR, _BASES[0]))
-                parts.append({"anchor": _signed(found), "key": np.full(len(found), _key(words)[0])})
-        if parts:
-            yield _table(parts)
+
+    def parts() -> Iterator[dict]:
+        for batch in batches:
+            for text in batch["text"]:
+                words = _words(text)
+                if len(words) >= WINDOW:
+                    found = np.unique(_windows(_word_hashes(words), _anchor_starts(len(words)), ANCHOR, _BASES[0]))
+                    yield {"anchor": _signed(found), "key": np.full(len(found), _key(words)[0])}
+
+    return _tables(parts())
 
 
 def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Whole windows that hold a shared anchor, from (doc, text, shared)."""
-    for batch in batches:
-        parts = []
-        for doc, text, shared in zip(batch["doc"], batch["text"], batch["shared"]):
-            hashes = _word_hashes(_words(text))
-            starts = _anchor_starts(len(hashes))
-            known = np.sort(np.asarray(shared, np.int64))
-            anchors = _signed(_windows(hashes, starts, ANCHOR, _BASES[0]))
-            at = np.minimum(np.searchsorted(known, anchors), len(known) - 1)
-            starts = starts[known[at] == anchors]
-            around = np.unique((starts[:, None] - np.arange(PERIOD)).ravel())
-            around = around[(around >= 0) & (around <= len(hashes) - WINDOW)]
-            a, b = (_signed(_windows(hashes, around, WINDOW, base)) for base in _BASES)
-            parts.append({"a": a, "b": b, "doc": np.full(len(a), doc), "start": around.astype(np.int32)})
-        if parts:
-            yield _table(parts)
+
+    def parts() -> Iterator[dict]:
+        for batch in batches:
+            for doc, text, shared in zip(batch["doc"], batch["text"], batch["shared"]):
+                hashes = _word_hashes(_words(text))
+                starts = _anchor_starts(len(hashes))
+                known = np.sort(np.asarray(shared, np.int64))
+                anchors = _signed(_windows(hashes, starts, ANCHOR, _BASES[0]))
+                at = np.minimum(np.searchsorted(known, anchors), len(known) - 1)
+                starts = starts[known[at] == anchors]
+                around = np.unique((starts[:, None] - np.arange(PERIOD)).ravel())
+                around = around[(around >= 0) & (around <= len(hashes) - WINDOW)]
+                a, b = (_signed(_windows(hashes, around, WINDOW, base)) for base in _BASES)
+                yield {"a": a, "b": b, "doc": np.full(len(a), doc), "start": around.astype(np.int32)}
+
+    return _tables(parts())
 
 
 def repeated_windows(docs: DataFrame, firsts: DataFrame) -> DataFrame:
