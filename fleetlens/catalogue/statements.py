@@ -150,7 +150,8 @@ def capped_rows(spark: SparkSession, folder: str) -> DataFrame:
 TABLES = ["customer", "lineitem", "nation", "orders", "part", "supplier"]
 
 GUARDED = {
-    "sql_select_where": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000 AND o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 10000",
+    "sql_select_where": """SELECT count(*) AS orders, min(o_orderkey) AS first, max(o_orderkey) AS last, CAST(sum(o_orderkey) AS BIGINT) AS keys
+ FROM orders WHERE o_totalprice > 400000 AND o_orderstatus = 'F'""",
     "sql_cte": """WITH big AS (SELECT l_orderkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_orderkey)
  SELECT count(*) AS orders, CAST(sum(quantity) AS BIGINT) AS pieces FROM big WHERE quantity > 100""",
     "sql_inner_join": """SELECT n_name, count(*) AS orders, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
@@ -158,8 +159,8 @@ GUARDED = {
     "sql_left_join": """SELECT c_mktsegment, count(*) AS customers, count(o.o_custkey) AS with_orders
  FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON o.o_custkey = c_custkey GROUP BY c_mktsegment""",
     "sql_right_join": """SELECT n_name, count(s_suppkey) AS suppliers FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""",
-    "sql_group_having": """SELECT l_suppkey, count(*) AS lines, CAST(sum(l_quantity) AS BIGINT) AS pieces FROM lineitem
- GROUP BY l_suppkey HAVING count(*) > 550 ORDER BY l_suppkey LIMIT 1000""",
+    "sql_group_having": """SELECT count(*) AS suppliers, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(pieces) AS BIGINT) AS pieces FROM (
+ SELECT l_suppkey, count(*) AS lines, CAST(sum(l_quantity) AS BIGINT) AS pieces FROM lineitem GROUP BY l_suppkey HAVING count(*) > 550) s""",
     "sql_order_limit_offset": "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderkey LIMIT 40 OFFSET 25",
     "sql_union": "SELECT c_nationkey AS nationkey FROM customer WHERE c_acctbal < 0 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal < 0",
     "sql_guarded": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey;",
@@ -241,7 +242,8 @@ ORACLES = {
     "split_statements": f"""WITH s AS (SELECT stmt_id, regexp_extract_all(stmt || {_SCRIPT_TAIL}, '([^;''"]|''[^'']*''|"[^"]*")+;?|;') AS raw FROM {{sql_audit}}),
  t AS (SELECT stmt_id, list_filter(list_transform(raw, lambda x: trim(x, chr(10) || ' ')), lambda x: x <> '' AND NOT starts_with(x, '--')) AS pieces FROM s)
  SELECT stmt_id, CAST(generate_subscripts(pieces, 1) - 1 AS INT) AS pos, unnest(pieces) AS piece FROM t""",
-    "audit_rows": """SELECT stmt_id + 1700000000000 AS at, db, stmt_id % 100 AS rows, stmt_id % 977 AS cost_ms, substr(concat(stmt, ' ', repeat('/* padding */', 16)), 1, 200) AS sql FROM {sql_audit}""",
+    "audit_rows": """SELECT stmt_id + 1700000000000 AS at, db, stmt_id % 100 AS rows, stmt_id % 977 AS cost_ms, concat(stmt, ' ', repeat('/* padding */', 16)) AS sql,
+ substr(concat(stmt, ' ', repeat('/* padding */', 16)), 1, 200) AS preview FROM {sql_audit}""",
     "csv_lines": f"""WITH p AS (SELECT *, {_LABEL} AS label FROM part)
  SELECT p_partkey, concat(p_partkey, ',', CASE WHEN label IS NULL THEN '' WHEN regexp_matches(label, '[",\\n\\r]') THEN concat('"', replace(label, '"', '""'), '"') ELSE label END, ',', p_size, ',',
  CASE WHEN p_retailprice = floor(p_retailprice) THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) ELSE CAST(p_retailprice AS VARCHAR) END) AS line FROM p""",

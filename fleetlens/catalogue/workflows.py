@@ -136,7 +136,6 @@ QUERIES = {
 _TOOK = """CASE WHEN duration <= 0 THEN '—' WHEN duration < 60 THEN concat(duration, 's') WHEN duration < 3600 THEN concat(duration // 60, 'm ', duration % 60, 's')
  ELSE concat(duration // 3600, 'h ', duration % 3600 // 60, 'm') END AS took"""
 _MINED = "CASE WHEN regexp_matches({t}, 'application_\\d+_\\d+') THEN regexp_extract({t}, 'application_\\d+_\\d+') END"
-_WINDOW = "array_to_string(string_split(log, chr(10))[1:300], chr(10))"
 _NUMBER = (
     "'^([+-]?(Infinity|([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+)?$'"
 )
@@ -159,9 +158,9 @@ ORACLES = {
     "workflow_tasks": """SELECT w.id AS "processInstanceId", w.name AS workflow_name, w.state AS workflow_state, t.id, t.state
  FROM {process_instances} w LEFT JOIN {task_instances} t ON t."processInstanceId" = w.id""",
     "log_app_id": f"""SELECT "taskInstanceId", {mined('log')} AS "appId" FROM {{task_logs}}""",
-    "task_app_link": f"""WITH m AS (SELECT "taskInstanceId", {mined(_WINDOW)} AS "appId" FROM {{task_logs}})
+    "task_app_link": f"""WITH m AS (SELECT "taskInstanceId", {mined('log')} AS "appId" FROM {{task_logs}})
  SELECT "taskInstanceId", "appId", a.state AS app_state, a.queue AS app_queue, '{RM}/cluster/app/' || "appId" AS "appUrl" FROM m LEFT JOIN {{apps}} a ON a.id = "appId" """,
-    "workflow_drilldown": f"""WITH m AS (SELECT "taskInstanceId", {mined(_WINDOW)} AS "appId" FROM {{task_logs}}),
+    "workflow_drilldown": f"""WITH m AS (SELECT "taskInstanceId", {mined('log')} AS "appId" FROM {{task_logs}}),
  w AS (SELECT id, name FROM {{process_instances}} WHERE "startTime" >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 168 HOUR)
  SELECT w.id AS "processInstanceId", w.name AS workflow_name, t.id, t.state, m."appId", a.state AS app_state FROM w
  LEFT JOIN {{task_instances}} t ON t."processInstanceId" = w.id LEFT JOIN m ON m."taskInstanceId" = t.id LEFT JOIN {{apps}} a ON a.id = m."appId" """,
@@ -174,12 +173,10 @@ ORACLES = {
  UNION ALL SELECT 'brand', p_partkey, p_brand FROM part UNION ALL SELECT 'odd', p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat('0x', hex(p_partkey))
  WHEN 1 THEN concat(p_partkey, 'e3') WHEN 2 THEN concat(p_partkey, 'd') WHEN 3 THEN concat(' -.', p_partkey, '  ') WHEN 4 THEN '  ' ELSE '' END FROM part)
  SELECT kind, id, v <> '' AND regexp_matches(trim(v, chr(10) || chr(13) || chr(9) || ' '), {_NUMBER}) AS numeric FROM v""",
-    "paged_projects": f"SELECT * FROM {_PROJECTS} WHERE page_no <= 10 AND listing % 5 <> 1",
-    "paged_projects_whole": f"SELECT * FROM {_PROJECTS} WHERE NOT (listing % 5 = 1 AND EXISTS (SELECT 1 FROM {_PROJECTS} p WHERE p.page_no = 2 AND p.listing % 5 = 1))",
     "paged_project_errors": f"SELECT DISTINCT listing, page_no, 10113 AS code, 'page failed' AS msg FROM {_PROJECTS} WHERE listing % 5 = 1 AND page_no = 2",
 }
-ORACLES["paged_projects"] = f"""WITH p AS {_PROJECTS} SELECT * FROM p WHERE page_no <= 10
- AND listing NOT IN (SELECT listing FROM p WHERE listing % 5 = 1 AND page_no = 2)"""
+ORACLES["paged_projects"] = f"""WITH p AS {_PROJECTS} SELECT * FROM p
+ WHERE listing NOT IN (SELECT listing FROM p WHERE listing % 5 = 1 AND page_no = 2)"""
 ORACLES["paged_projects_whole"] = f"""WITH p AS {_PROJECTS} SELECT * FROM p
  WHERE listing NOT IN (SELECT listing FROM p WHERE listing % 5 = 1 AND page_no = 2)"""
 ORACLES = {name: sql(text) for name, text in ORACLES.items()}

@@ -101,11 +101,9 @@ IDLE_ACTION = "REPEAT_RUNNING"
 RANGE_HOURS = {"1d": 24, "3d": 72, "7d": 168}
 DEFAULT_RANGE = "3d"
 
-PAGES_PER_LISTING = 10
 DEFAULT_PAGE_ERROR = "查询失败"
 
 LOG_LINES_PER_READ = 500
-LOG_LINES_MINED = 300
 
 # --- texts ------------------------------------------------------------------------------
 

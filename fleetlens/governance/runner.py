@@ -174,7 +174,7 @@ def audit_of(spark: SparkSession, results: list[Result]) -> DataFrame:
     """Audit rows of the statements that ran."""
     now = time.time()
     rows = [
-        (int(now * 1000), r.source, r.rows, r.cost_ms, r.sql[: fixed.AUDIT_SQL_CHARS])
+        (int(now * 1000), r.source, r.rows, r.cost_ms, r.sql, r.sql[: fixed.AUDIT_SQL_CHARS])
         for r in results
         if r.error is None
     ]

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from fleetlens import fixed
 from fleetlens.session import checkpoint
 
-# Rows up to which a page is cut from a top-k heap; deeper pages are found by position.
-SHALLOW_ROWS = 100_000
+# Rows up to which a page is cut from a top-k heap; deeper pages are found by position. Each
+# task sends that many rows to the merge, so it stays in the low thousands.
+SHALLOW_ROWS = 2_000
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row within it below
 
@@ -67,7 +68,9 @@ def page_with_total(
 ) -> DataFrame:
     """A page beside the number of all rows. The total is one row, whatever the data."""
     total = df.agg(F.count("*").alias("total"))
-    return page(df, order, number, size, rank).crossJoin(F.broadcast(total))
+    rows = page(df, order, number, size, rank)
+    # at most ``size`` rows; past the last page the total stays, beside nulls
+    return total.join(F.broadcast(rows), F.lit(True), "left").select(*rows.columns, "total")
 
 
 def permitted_cap(stated: int | None, default: int = fixed.DEFAULT_ROW_LIMIT, most: int = fixed.MAX_ROW_LIMIT) -> int:

@@ -15,8 +15,13 @@ def leaf_queues(queues: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     For flat queue tables, which know parents only; straight from the snapshots,
     ``sources.scheduler.leaf_names`` needs no join.
     """
-    parents = queues.filter(F.col("parent").isNotNull()).select(*keys, F.col("parent").alias("queueName")).distinct()
-    leaves = queues.filter(F.col("queueName") != "").join(parents, [*keys, "queueName"], "left_anti")
+    below = queues.filter(F.col("parent").isNotNull())
+    if "path" in queues.columns:  # the same name may stand at several places of a tree
+        up = F.expr("left(path, char_length(path) - char_length(queueName) - 1)")
+        by, parents = "path", below.select(*keys, up.alias("path")).distinct()
+    else:
+        by, parents = "queueName", below.select(*keys, F.col("parent").alias("queueName")).distinct()
+    leaves = queues.filter(F.col("queueName") != "").join(parents, [*keys, by], "left_anti")
     names = leaves.select(*keys, "queueName")
     return names.orderBy(*keys, F.collate("queueName", "UNICODE"), "queueName")
 
@@ -25,11 +30,15 @@ def with_totals(queues: DataFrame, totals: DataFrame, keys: Sequence[str] = ())
     """Every queue beside the cluster's totals, of its own snapshot if ``keys`` name one.
 
     Without keys the totals are folded to a single row here, which is what makes their
-    broadcast safe. With keys both sides are joined on them, queues kept.
+    broadcast safe; totals of several snapshots are an error, as no cluster has the largest
+    figure of each. With keys both sides are joined on them, queues kept.
     """
-    figures = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("totalMB", "totalVirtualCores")]
+    names = ("totalMB", "totalVirtualCores")
+    figures = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in names]
     if keys:
         return queues.join(totals.groupBy(*keys).agg(*figures), list(keys), "left")
+    several = F.raise_error(F.lit("totals of several snapshots: name their key"))
+    figures = [F.when(F.count(F.lit(1)) > 1, several).otherwise(F.coalesce(F.max(c), F.lit(0))).alias(c) for c in names]
     return queues.crossJoin(F.broadcast(totals.agg(*figures)))
 
 

@@ -87,23 +87,24 @@ def expand_tasks(workflows: DataFrame, tasks: DataFrame, how: str = "left") -> D
     return matched.unionByName(without_tasks(workflows, tasks), allowMissingColumns=True)
 
 
-def mine_app_ids(logs: DataFrame, lines: int | None = fixed.LOG_LINES_MINED) -> DataFrame:
+def mine_app_ids(logs: DataFrame, lines: int | None = None) -> DataFrame:
     """The first application id in each log, null when there is none.
 
-    Only an id per log leaves the scan, never the text. ``lines=None`` looks at whole logs.
+    Only an id per log leaves the scan, never the text. Whole logs are looked at unless the
+    caller asks for their first ``lines`` only.
     """
     text = F.col("log") if lines is None else first_lines(F.col("log"), lines)
     return logs.select("taskInstanceId", app_id(text).alias("appId"))
 
 
-def with_app_ids(tasks: DataFrame, logs: DataFrame, lines: int | None = fixed.LOG_LINES_MINED) -> DataFrame:
+def with_app_ids(tasks: DataFrame, logs: DataFrame, lines: int | None = None) -> DataFrame:
     """Tasks with the application id their log names."""
     mined = mine_app_ids(logs, lines)
     return tasks.join(mined, tasks["id"] == mined["taskInstanceId"], "left").drop("taskInstanceId")
 
 
 def link_apps(
-    tasks: DataFrame, logs: DataFrame, apps: DataFrame, rm: str, lines: int | None = fixed.LOG_LINES_MINED
+    tasks: DataFrame, logs: DataFrame, apps: DataFrame, rm: str, lines: int | None = None
 ) -> DataFrame:
     """Tasks with the application their log names, and a link to it."""
     return with_apps(with_app_ids(tasks, logs, lines), apps, rm)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from fleetlens.governance.policy import Policy
 
+# two plain names: with dots or slashes inside, a name could lead out of its folder
+_TARGET = re.compile(r"[A-Za-z0-9_$]+\.[A-Za-z0-9_$]+")
+
 
 class NotWritable(PermissionError):
     """The target is on no list of writable tables."""
@@ -14,8 +19,8 @@ class NotWritable(PermissionError):
 
 
 def is_target_writable(target: str, policy: Policy) -> bool:
-    """Whether ``source.table`` is listed, itself or by its whole source."""
-    return any(target.startswith(w[:-1]) if w.endswith(".*") else target == w for w in policy.writable_tables)
+    """Whether ``source.table`` is such a name and listed, itself or by its whole source."""
+    return _TARGET.fullmatch(target) is not None and any(target.startswith(w[:-1]) if w.endswith(".*") else target == w for w in policy.writable_tables)
 
 
 def guarded_append(df: DataFrame, target: str, folder: str, policy: Policy) -> DataFrame:

@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import fixed
 
-AUDIT = "at bigint, db string, `rows` bigint, cost_ms bigint, sql string"
+AUDIT = "at bigint, db string, `rows` bigint, cost_ms bigint, sql string, preview string"
 
 
 def audit_rows(df: DataFrame, at: Column, db: Column, rows: Column, cost_ms: Column, sql: Column) -> DataFrame:
-    """One audit row per statement; long statements are kept in part."""
+    """One audit row per statement, with its whole text and a short preview for lists."""
     return df.select(
         at.cast("bigint").alias("at"),
         db.alias("db"),
         rows.cast("bigint").alias("rows"),
         cost_ms.cast("bigint").alias("cost_ms"),
-        F.substring(sql, 1, fixed.AUDIT_SQL_CHARS).alias("sql"),
+        sql.alias("sql"),
+        F.substring(sql, 1, fixed.AUDIT_SQL_CHARS).alias("preview"),
     )
 
 

@@ -4,87 +4,88 @@ Input: one row per landed page with its listing, ``page_no`` (from 1), ``code``,
 ``data`` (see ``schemas.page_envelope``).
 
 A reader stops after a page that is empty, or that completes the stated total, or that is an
-error, and asks for no more than ``max_pages`` pages.
+error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import fixed
 from fleetlens.operators.running import running_total
 from fleetlens.session import checkpoint
 
 STOPS = "failed OR n = 0 OR seen >= total"
+MISSING = "page missing"
 
 
-def _headers(pages: DataFrame, keys: Sequence[str], *payload: Column) -> DataFrame:
-    """What decides where a reader stops, beside the payload if that is to come along."""
+def _copy(seq: str | None) -> list[Column]:
+    """What tells copies of a page apart: how new they are, then what they hold."""
+    return [(F.col(seq) if seq else F.lit(0)).alias("_seq"), F.xxhash64("data", "code", "msg").alias("_hash")]
+
+
+def _headers(pages: DataFrame, keys: Sequence[str], seq: str | None) -> DataFrame:
+    """What decides where a reader stops: one narrow row per page, of its newest copy."""
     rows = F.coalesce(F.size("data.totalList"), F.lit(0)).cast("long")
-    return pages.select(
-        *keys,
-        "page_no",
+    head = F.struct(
+        *_copy(seq),
         F.when(F.col("code") == 0, rows).otherwise(0).alias("n"),
         F.coalesce("data.total", F.lit(0)).alias("total"),
         (F.coalesce(F.col("code"), F.lit(-1)) != 0).alias("failed"),
         F.coalesce(F.nullif("msg", F.lit("")), F.lit(fixed.DEFAULT_PAGE_ERROR)).alias("msg"),
         "code",
-        *payload,
     )
+    newest = pages.select(*keys, "page_no", head.alias("_head")).groupBy(*keys, "page_no").agg(F.max("_head").alias("_head"))
+    return newest.select(*keys, "page_no", "_head.*")
 
 
-def _reached_of_few(headers: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pages a reader asks for, where a listing has few: one shuffle, one sort."""
-    pages = Window.partitionBy(*keys).orderBy("page_no")
-    seen = headers.withColumn("seen", F.sum("n").over(pages.rowsBetween(Window.unboundedPreceding, 0)))
-    earlier = pages.rowsBetween(Window.unboundedPreceding, -1)
-    stopped = F.coalesce(F.max(F.expr(STOPS)).over(earlier), F.lit(False))
-    return seen.withColumn("_stopped", stopped).filter(~F.col("_stopped")).drop("_stopped")
-
+def _reached(pages: DataFrame, keys: Sequence[str], max_pages: int | None, seq: str | None) -> tuple[DataFrame, DataFrame]:
+    """Pages a reader asks for, and how each listing ends: ``last_page``, ``bad`` and ``gap``.
 
-def _reached_of_many(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same for listings of any length, which no single task has to hold.
-
-    Several steps need the headers, so these are kept in the shared folder and the pages are
-    parsed for them only once.
+    No task has to hold a listing. Several steps need the headers, so these are kept in the
+    shared folder and the pages are parsed for them only once.
     """
-    headers = checkpoint(_headers(pages, keys))
+    few = pages if max_pages is None else pages.filter(F.col("page_no") <= max_pages)
+    headers = checkpoint(_headers(few, keys, seq))
     seen = running_total(headers, list(keys), "page_no", F.col("n"), "seen")
-    last = seen.filter(STOPS).groupBy(*keys).agg(F.min("page_no").alias("last_page"))
-    joined = seen.join(last, list(keys), "left")
-    return joined.filter(F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page"))).drop("last_page")
+    seen = running_total(seen, list(keys), "page_no", F.lit(1), "place")
+    # without a gap page n is the n-th; the first page behind a gap stands at the missing number
+    ends = seen.groupBy(*keys).agg(
+        F.min(F.when(F.expr(STOPS), F.col("page_no"))).alias("last_page"),
+        F.min(F.when(F.col("failed"), F.col("page_no"))).alias("bad"),
+        F.min(F.when(F.col("place") < F.col("page_no"), F.col("place"))).alias("gap"),
+    )
+    ends = ends.withColumn("gap", F.when(F.col("last_page").isNull() | (F.col("gap") < F.col("last_page")), F.col("gap")))
+    joined = seen.join(ends, list(keys))
+    return joined.filter(F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page"))), ends
 
 
-def page_errors(
-    pages: DataFrame, keys: Sequence[str], max_pages: int | None = fixed.PAGES_PER_LISTING
-) -> DataFrame:
-    """The page at which each failed listing failed, with its code and message."""
-    if max_pages is None:
-        reached = _reached_of_many(pages, keys)
-    else:
-        reached = _reached_of_few(_headers(pages.filter(F.col("page_no") <= max_pages), keys), keys)
-    return reached.filter("failed").select(*keys, "page_no", "code", "msg")
+def page_errors(pages: DataFrame, keys: Sequence[str], max_pages: int | None = None, seq: str | None = None) -> DataFrame:
+    """The page at which each listing failed, with its code and message; a missing page has no code."""
+    reached, ends = _reached(pages, keys, max_pages, seq)
+    failed = reached.filter("failed AND gap IS NULL").select(*keys, "page_no", "code", "msg")
+    kinds = failed.schema
+    gaps = ends.filter("gap IS NOT NULL").select(
+        *keys,
+        F.col("gap").cast(kinds["page_no"].dataType).alias("page_no"),
+        F.lit(None).cast(kinds["code"].dataType).alias("code"),
+        F.lit(MISSING).alias("msg"),
+    )
+    return failed.unionByName(gaps)
 
 
-def union_pages(
-    pages: DataFrame, keys: Sequence[str], max_pages: int | None = fixed.PAGES_PER_LISTING
-) -> DataFrame:
+def union_pages(pages: DataFrame, keys: Sequence[str], max_pages: int | None = None, seq: str | None = None) -> DataFrame:
     """All rows of the pages a reader asks for, with their page and place in it.
 
-    A listing that fails on the way has no rows: ask ``page_errors`` for the reason.
-    ``max_pages=None`` reads every listing to its end.
+    Of a page that landed more than once the copy of the highest ``seq`` counts. A listing that
+    fails on the way, or lacks a page before its end, has no rows: ask ``page_errors`` for the
+    reason. Listings are read to their end unless the caller names ``max_pages``.
     """
-    if max_pages is None:
-        ends = _reached_of_many(pages, keys).groupBy(*keys).agg(
-            F.max("page_no").alias("last_page"), F.max("failed").alias("_failed")
-        )
-        payload = pages.select(*keys, "page_no", F.col("data.totalList").alias("rows"))
-        kept = payload.join(ends.filter(~F.col("_failed")), list(keys)).filter("page_no <= last_page")
-    else:
-        few = pages.filter(F.col("page_no") <= max_pages)
-        reached = _reached_of_few(_headers(few, keys, F.col("data.totalList").alias("rows")), keys)
-        kept = reached.withColumn("_failed", F.max("failed").over(Window.partitionBy(*keys))).filter(~F.col("_failed"))
-    exploded = kept.select(*keys, "page_no", F.posexplode("rows").alias("pos", "row"))
+    reached, _ = _reached(pages, keys, max_pages, seq)
+    by = [*keys, "page_no", "_seq", "_hash"]
+    wanted = reached.filter("gap IS NULL AND (bad IS NULL OR bad > last_page)").select(*by)
+    payload = pages.select(*keys, "page_no", *_copy(seq), F.col("data.totalList").alias("rows")).dropDuplicates(by)
+    exploded = payload.join(wanted, by).select(*keys, "page_no", F.posexplode("rows").alias("pos", "row"))
     return exploded.select(*keys, "page_no", "pos", "row.*")

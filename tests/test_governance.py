@@ -243,3 +243,17 @@ def test_normalise_limit(sql, text, cap):
 def test_policy_from_config():
     policy = Policy.from_config({"allowedDbs": [" a ", ""], "writableTables": ["x.*"], "maxLimit": "5"})
     assert (policy.allowed_sources, policy.writable_tables, policy.max_limit, policy.default_limit) == (("a",), ("x.*",), 5, 100)
+
+
+@pytest.mark.parametrize(
+    "sql, text, cap",
+    [
+        ("SELECT * FROM t -- LIMIT 5", "SELECT * FROM t -- LIMIT 5", None),
+        ("SELECT * FROM t /* LIMIT 5 */", "SELECT * FROM t /* LIMIT 5 */", None),
+        ("SELECT * FROM t LIMIT 5 -- all", "SELECT * FROM t LIMIT 5 -- all", 5),
+        ("SELECT * FROM t -- c\nLIMIT 2, 5", "SELECT * FROM t -- c\nLIMIT 5 OFFSET 2", 5),
+    ],
+)
+def test_comments_state_no_cap(sql, text, cap):
+    found = normalise_limit(sql)
+    assert (found.text, found.cap) == (text, cap)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import fixed
 from fleetlens.operators import apps as A
-from fleetlens.operators import paging
+from fleetlens.operators import paging, queues
 from fleetlens.operators import workflows as W
 from fleetlens.operators.latest import latest_by
 from fleetlens.operators.listing import sort_listing
@@ -180,7 +180,26 @@ def test_link_apps(spark):
     apps = spark.createDataFrame([("application_1_7", "RUNNING"), ("application_1_9", "KILLED"), ("#3", "TRAP")], "id string, state string")
     got = {r.id: (r.appId, r.app_state, r.appUrl) for r in W.link_apps(tasks, logs, apps, "http://rm/").collect()}
     assert got[0] == ("application_1_7", "RUNNING", "http://rm/cluster/app/application_1_7")
-    assert got[1] == (None, None, None) and got[3] == (None, None, None) and got[5] == (None, None, None)
+    assert got[1][:2] == ("application_1_9", "KILLED") and got[3] == (None, None, None) and got[5] == (None, None, None)
     assert got[2][:2] == ("application_1_9", "KILLED") and got[4] == ("application_5_5", None, "http://rm/cluster/app/application_5_5")
-    whole = {r.id: r.appId for r in W.link_apps(tasks, logs, apps, "http://rm", lines=None).collect()}
-    assert whole[1] == "application_1_9"
+    part = {r.id: r.appId for r in W.link_apps(tasks, logs, apps, "http://rm", lines=300).collect()}
+    assert part[1] is None and part[2] == "application_1_9"
+
+
+def test_leaves_by_path(spark):
+    rows = [("root", None, "root"), ("a", "root", "root.a"), ("x", "a", "root.a.x"), ("b", "root", "root.b"), ("a", "b", "root.b.a")]
+    flat = spark.createDataFrame(rows, "queueName string, parent string, path string")
+    assert [r.queueName for r in queues.leaf_queues(flat).collect()] == ["a", "x"]
+
+
+def test_totals_of_several_snapshots(spark):
+    flat = spark.createDataFrame([("root",)], "queueName string")
+    totals = spark.createDataFrame([(100, 50), (200, 10)], "totalMB bigint, totalVirtualCores bigint")
+    assert queues.with_totals(flat, totals.limit(1)).first().totalMB == 100
+    with pytest.raises(Exception, match="several snapshots"):
+        queues.with_totals(flat, totals).collect()
+
+
+def test_total_past_the_last_page(spark):
+    got = paging.page_with_total(spark.range(5), [F.col("id")], 9, 2).collect()
+    assert [(r.id, r.total) for r in got] == [(None, 5)]

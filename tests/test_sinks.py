@@ -70,4 +70,17 @@ def test_audit(spark, folder):
     audit.append_audit(rows, f"{folder}/audit")
     audit.append_audit(rows, f"{folder}/audit")
     got = spark.read.parquet(f"{folder}/audit")
-    assert got.count() == 4 and sorted({len(r.sql) for r in got.collect()}) == [5, 200]
+    assert got.count() == 4 and sorted({len(r.sql) for r in got.collect()}) == [5, 300] and {len(r.preview) for r in got.collect()} == {5, 200}
+
+
+@pytest.mark.parametrize("target", ["shop.../../../escaped", "shop.", "shop.a.b", "shop./x", "shop..", "shop"])
+def test_append_stays_in_its_folder(spark, folder, target):
+    with pytest.raises(append.NotWritable):
+        append.guarded_append(spark.range(1), target, folder, Policy(writable_tables=("shop.*", target)))
+
+
+def test_number_text(spark):
+    values = [12345678.5, 0.0001, 1e-6, 1.5e-7, 1e20, 1e21, -0.0, -1234567.25, 0.1, 123456789012345680.0]
+    texts = ["12345678.5", "0.0001", "0.000001", "1.5e-7", "1" + "0" * 20, "1e+21", "0", "-1234567.25", "0.1", "123456789012345680"]
+    df = spark.createDataFrame([(v,) for v in values], "n double")
+    assert [r.line for r in df.select(csv.csv_line(df).alias("line")).collect()] == texts

@@ -147,8 +147,20 @@ def test_pages(spark):
 
 def test_pages_limit(spark):
     df = project_pages(spark, [(1, p, 0, "", [p], 12) for p in range(1, 13)])
-    assert pages.union_pages(df, ["listing"]).count() == 10
-    assert pages.union_pages(df, ["listing"], max_pages=None).count() == 12
+    assert pages.union_pages(df, ["listing"]).count() == 12
+    assert pages.union_pages(df, ["listing"], max_pages=10).count() == 10
+
+
+def test_pages_landed_twice_or_missing(spark):
+    twice = [(1, p, 0, "", [10 * p], 3) for p in (1, 2, 1, 2, 3)]
+    gap = [(2, p, 0, "", [p], 3) for p in (1, 3)]
+    late = [(3, p, 0, "", [p], 2) for p in (1, 2, 5)]  # a page past the end does not make a gap
+    df = project_pages(spark, twice + gap + late)
+    got = sorted((r.listing, r.page_no) for r in pages.union_pages(df, ["listing"]).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (3, 1), (3, 2)]
+    assert [tuple(r) for r in pages.page_errors(df, ["listing"]).collect()] == [(2, 2, None, "page missing")]
+    newer = df.filter("listing = 1").withColumn("at", F.monotonically_increasing_id())
+    assert pages.union_pages(newer, ["listing"], seq="at").count() == 3
 
 
 def test_running_total_over_blocks(spark):
