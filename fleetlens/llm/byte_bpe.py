@@ -1,48 +1,68 @@
 """Byte-level BPE encoding and decoding with recursive SQL in DuckDB, run on each partition.
 
-Every distinct piece of a partition is encoded once: its bytes are token-position rows, which join the merge table; a
-recursive query contracts each piece's leftmost pair of least rank until no pair is left, and ordered aggregation gives ids
-and decoded bytes. Documents are put together from their pieces. Pieces of over ``LONG`` bytes, which would need as many
-rounds as bytes, are contracted with a heap by the same rule.
+The bytes of a piece are token-position rows, which join the merge table; a recursive query contracts the leftmost pairs of
+least rank until no pair is left, and ordered aggregation gives ids and decoded bytes. Every piece, of whatever length, takes
+this way, once while a worker remembers it. Documents are put together from their pieces.
+
+Two bytes that stand side by side in no token are never merged, so a piece is cut between such bytes and each part is a
+sequence of its own; of equal ranks in a sequence the leftmost pairs that do not overlap are contracted in one step, which is
+what contracting them one after the other gives. So steps follow the number of different ranks in a part, not its length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG = 128
-#: Pieces that one recursive query takes, and pieces whose result a worker remembers.
-QUERY_PIECES, KNOWN_PIECES = 50_000, 400_000
+from fleetlens.llm.words import Remembered, joinable, parts_of, piece_splitter, word_splitter
+
+#: Bytes that one recursive query takes (or one piece of more), and pieces and words a worker remembers.
+QUERY_BYTES, KNOWN = 200_000, 150_000
 
+# g is a token's sequence and, in the lower 40 bits, its place in bytes
 _CONTRACT = """
-WITH RECURSIVE t(step, piece, pos, tok) AS (
-    SELECT 0, piece, pos, tok FROM pieces
+WITH RECURSIVE t(step, g, tok, len) AS (
+    SELECT 0, (part::BIGINT << 40) | pos, tok, 1 FROM parts
     UNION ALL
-    SELECT step + 1, piece, pos, CASE WHEN code = best THEN best >> 32 ELSE tok END
-    FROM (
-        SELECT *, min(code) OVER (PARTITION BY piece) AS best, lag(code) OVER (PARTITION BY piece ORDER BY pos) AS left_code
-        FROM (
-            SELECT n.step, n.piece, n.pos, n.tok, (m.rank << 32) | n.pos AS code
-            FROM (SELECT *, lead(tok) OVER (PARTITION BY piece ORDER BY pos) AS next_tok FROM t) n
-            LEFT JOIN merges m ON m.l = n.tok AND m.r = n.next_tok
-        )
+    (
+        WITH pair AS (
+            SELECT p.g, p.other, p.len, m.rank
+            FROM (
+                SELECT a.g, b.g AS other, a.len + b.len AS len, (a.tok::BIGINT << 32) | b.tok AS duo
+                FROM t a JOIN t b ON b.g = a.g + a.len
+            ) p
+            JOIN merges m USING (duo)
+        ),
+        best AS (SELECT g >> 40 AS part, min(rank) AS rank FROM pair GROUP BY 1),
+        hit AS (
+            SELECT g, other, len, pair.rank AS rank, row_number() OVER (ORDER BY g) AS n,
+                lag(other) OVER (ORDER BY g) IS DISTINCT FROM g AS first
+            FROM pair JOIN best ON best.part = g >> 40 AND best.rank = pair.rank
+        ),
+        picked AS (
+            SELECT g, other, len, rank
+            FROM (SELECT *, max(CASE WHEN first THEN n END) OVER (ORDER BY g ROWS UNBOUNDED PRECEDING) AS start FROM hit)
+            WHERE (n - start) % 2 = 0
+        ),
+        change AS (SELECT g, rank AS tok, len FROM picked UNION ALL SELECT other, -1, 0 FROM picked)
+        SELECT t.step + 1, t.g, coalesce(c.tok, t.tok), coalesce(c.len, t.len)
+        FROM t JOIN best ON best.part = t.g >> 40 LEFT JOIN change c ON c.g = t.g
+        WHERE c.tok IS NULL OR c.tok >= 0
     )
-    WHERE best IS NOT NULL AND left_code IS DISTINCT FROM best
 )
-SELECT piece, list(tok ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
-FROM (SELECT *, max(step) OVER (PARTITION BY piece) AS last FROM t) JOIN vocabulary v ON v.id = tok
-WHERE step = last
-GROUP BY piece
+SELECT l.piece, count(*) AS n, string_agg(text, ' ' ORDER BY g) AS ids, string_agg(hex, '' ORDER BY g) AS hex
+FROM t
+JOIN (SELECT g >> 40 AS part, max(step) AS last FROM t GROUP BY 1) e ON e.part = t.g >> 40 AND e.last = t.step
+JOIN pieces l ON l.part = t.g >> 40
+JOIN vocabulary v ON v.id = tok
+GROUP BY l.piece
 """
 
 
@@ -53,91 +73,72 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Coder:
-    """One worker's encoder: the merge table in DuckDB, and what it has met so far."""
+    """One worker's encoder: the merge table in DuckDB, and what it has met lately."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import duckdb
 
-        self.ranks = read_ranks(path)
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.split = regex.compile(pattern).findall
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "400MB"})
+        ranks = read_ranks(path)
+        self.words, self.pieces = word_splitter(pattern), piece_splitter(pattern)
+        self.joinable = joinable(ranks)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB"})
         pairs = [
-            (self.ranks[token[:cut]], self.ranks[token[cut:]], rank)
-            for token, rank in self.ranks.items()
+            ((ranks[token[:cut]] << 32) | ranks[token[cut:]], rank)
+            for token, rank in ranks.items()
             for cut in range(1, len(token))
-            if token[:cut] in self.ranks and token[cut:] in self.ranks
+            if token[:cut] in ranks and token[cut:] in ranks
         ]
-        merges = pd.DataFrame(pairs, columns=["l", "r", "rank"])  # noqa: F841
-        vocabulary = pd.DataFrame({"id": list(self.tokens), "hex": [t.hex() for t in self.tokens.values()]})  # noqa: F841
+        merges = pd.DataFrame(pairs, columns=["duo", "rank"])  # noqa: F841
+        vocabulary = pd.DataFrame({"id": ranks.values(), "text": map(str, ranks.values()), "hex": map(bytes.hex, ranks)})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        """Encodes pieces that are new to this worker."""
-        rest = []
-        for piece in new:
-            raw = piece.encode()
-            if raw in self.ranks:
-                self.known[piece] = (1, str(self.ranks[raw]), raw)
-            elif len(raw) > LONG:
-                ids = self._contract_long(raw)
-                self.known[piece] = (len(ids), " ".join(map(str, ids)), b"".join(map(self.tokens.__getitem__, ids)))
-            else:
-                rest.append((piece, raw))
-        for start in range(0, len(rest), QUERY_PIECES):
-            part = rest[start : start + QUERY_PIECES]
-            sizes = np.array([len(raw) for _, raw in part])
-            ends = np.cumsum(sizes)
-            places = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-            ids = self.byte_ids[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]
-            pieces = pd.DataFrame({"piece": np.repeat(np.arange(len(part)), sizes), "pos": places, "tok": ids})
-            self.con.register("pieces", pieces)
-            found = self.con.execute(_CONTRACT).fetchnumpy()
-            self.con.unregister("pieces")
-            for number, ids, text in zip(found["piece"].tolist(), found["ids"], found["hex"]):
-                self.known[part[number][0]] = (len(ids), " ".join(map(str, ids)), bytes.fromhex(text))
-
-    def _contract_long(self, raw: bytes) -> list[int]:
-        tokens: list[bytes | None] = [raw[i : i + 1] for i in range(len(raw))]
-        after = list(range(1, len(raw) + 1))
-        before = list(range(-1, len(raw) - 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(at: int) -> None:
-            if at >= 0 and after[at] < len(raw):
-                pair = tokens[at] + tokens[after[at]]
-                if (rank := self.ranks.get(pair)) is not None:
-                    heapq.heappush(heap, (rank, at, len(pair)))
-
-        for at in range(len(raw)):
-            offer(at)
-        while heap:
-            rank, at, size = heapq.heappop(heap)
-            other = after[at] if tokens[at] is not None else len(raw)
-            if other >= len(raw) or len(tokens[at]) + len(tokens[other]) != size or self.ranks.get(tokens[at] + tokens[other]) != rank:
-                continue
-            tokens[at] += tokens[other]
-            tokens[other] = None
-            after[at] = after[other]
-            if after[at] < len(raw):
-                before[after[at]] = at
-            offer(before[at])
-            offer(at)
-        return [self.ranks[t] for t in tokens if t is not None]
+        self.known_words, self.known_pieces = Remembered(KNOWN), Remembered(KNOWN)
+
+    def _contract(self, raws: list[bytes]) -> list[tuple[int, str, bytes]]:
+        """Number of ids, ids as text, and decoded bytes of each piece."""
+        flat = np.frombuffer(b"".join(raws), np.uint8)
+        owner, part, place = parts_of(flat, np.fromiter(map(len, raws), np.int64, len(raws)), self.joinable)
+        self.con.register("parts", pd.DataFrame({"part": part, "pos": place, "tok": self.byte_ids[flat]}))
+        self.con.register("pieces", pd.DataFrame({"part": np.arange(len(owner)), "piece": owner}))
+        found = self.con.execute(_CONTRACT).fetchnumpy()
+        self.con.unregister("parts")
+        self.con.unregister("pieces")
+        out: list = [None] * len(raws)
+        for piece, n, ids, text in zip(found["piece"].tolist(), found["n"].tolist(), found["ids"], found["hex"]):
+            out[piece] = (n, ids, bytes.fromhex(text))
+        return out
+
+    def _learn_pieces(self, wanted: set[str]) -> dict[str, tuple[int, str, bytes]]:
+        here, new = self.known_pieces.split(wanted)
+        new.sort(key=len)
+        raws = [piece.encode() for piece in new]
+        start = 0
+        while start < len(new):
+            end, size = start + 1, len(raws[start])
+            while end < len(new) and size + len(raws[end]) <= QUERY_BYTES:
+                size += len(raws[end])
+                end += 1
+            here.update(zip(new[start:end], self._contract(raws[start:end])))
+            start = end
+        self.known_pieces.keep(here, new)
+        return here
 
     def batch(self, texts) -> Iterator[list[tuple[int, str, bytes]]]:
-        """For each text its pieces' number of ids, ids as text, and decoded bytes."""
-        split = [self.split(text) if text else [] for text in texts]
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        new = set().union(*split) - self.known.keys()
-        self._learn(list(new))
-        known = self.known
-        for pieces in split:
-            yield [known[p] for p in pieces]
+        """For each text its words' number of ids, ids as text, and decoded bytes."""
+        split = [self.words(text) if text else [] for text in texts]
+        here, new = self.known_words.split(set().union(*split))
+        pieces = {word: self.pieces(word) for word in new}
+        of_piece = self._learn_pieces(set().union(*pieces.values()))
+        for word, held in pieces.items():
+            found = [of_piece[p] for p in held]
+            if len(found) == 1:
+                here[word] = found[0]
+            else:
+                here[word] = (sum(f[0] for f in found), " ".join([f[1] for f in found]), b"".join([f[2] for f in found]))
+        self.known_words.keep(here, new)
+        for words in split:
+            yield [here[w] for w in words]
 
 
 @lru_cache(maxsize=2)
@@ -160,8 +161,8 @@ def _small(texts: pd.Series, most: int = 4_000_000) -> Iterator[pd.Series]:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, ids. ``path`` is the rank file, the same on every executor.
 
-    Null and empty texts have no ids; repeated rows stay; an empty table gives an empty table; other columns are ignored.
-    Nothing is shuffled.
+    Null and empty texts have no ids; very long texts are taken whole; repeated rows and ids stay, an empty table gives an
+    empty one, and other columns, whatever their names, are ignored. Nothing is shuffled.
     """
 
     @F.pandas_udf("array<int>")
@@ -174,26 +175,28 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 _DECODE = """
-SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM coded JOIN vocabulary USING (id) GROUP BY doc
+SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex, count(*) = count(hex) AS whole
+FROM coded LEFT JOIN vocabulary USING (id) GROUP BY doc
 """
 
 
 def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per row: doc_id, bytes. Null or empty ids give no bytes; ids outside the vocabulary are left out."""
+    """One row per row: doc_id, bytes. Null or empty ids give no bytes; a row with an id that is null or outside the
+    vocabulary gives null. Repeated rows, empty tables and other columns are as in ``encode``."""
 
     @F.pandas_udf("binary")
     def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in batches:
             con = _coder(path, pattern).con
-            rows = [np.asarray([] if i is None else i, np.int64) for i in ids]
+            rows = [np.array([-1 if x is None else x for x in (() if i is None else i)], np.int64) for i in ids]
             flat = np.concatenate([np.empty(0, np.int64), *rows])
             doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
             con.register("coded", pd.DataFrame({"doc": doc, "pos": np.arange(len(flat)), "id": flat}))
             found = con.execute(_DECODE).fetchall()
             con.unregister("coded")
-            out = [b""] * len(ids)
-            for doc, text in found:
-                out[doc] = bytes.fromhex(text)
+            out: list[bytes | None] = [b""] * len(ids)
+            for doc, text, good in found:
+                out[doc] = bytes.fromhex(text) if good else None
             yield pd.Series(out, dtype=object)
 
     return coded.select(F.col(id_col).alias("doc_id"), raw(ids_col).alias("bytes"))
@@ -202,7 +205,7 @@ def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", id
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, with ``encode``'s rules, in one pass.
 
-    The ids are written in decimal with one space between; what they decode to is put together from the decoded pieces.
+    The ids are written in decimal with one space between; what they decode to is put together from the words' decoded ids.
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")

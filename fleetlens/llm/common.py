@@ -14,11 +14,15 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` as a written table in the shared folder: computed once, lineage cut, safe when executors are lost."""
+def stored(df: DataFrame, purpose: str, by: str | None = None) -> DataFrame:
+    """``df`` as a written table in the shared folder: computed once, lineage cut, safe when executors are lost.
+
+    ``by`` names a column of few values, each of which gets a folder of its own.
+    """
     spark = df.sparkSession
     path = work_dir(spark, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

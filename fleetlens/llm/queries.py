@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.llm.alignment import align_tokens
 from fleetlens.llm.byte_bpe import round_trip
 from fleetlens.llm.decontamination import find_contamination
 from fleetlens.llm.language_model import score_texts
@@ -15,6 +16,7 @@ from fleetlens.llm.secret_scan import scan_secrets
 from fleetlens.llm.sharding import shard_rows
 from fleetlens.llm.simhash import near_groups
 from fleetlens.llm.substrings import remove_repeats
+from fleetlens.llm.token_counts import count_tokens
 
 SHARDS = 24
 
@@ -96,6 +98,23 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip(_table(spark, folder, "documents"), *tokenizer())
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    aligned = align_tokens(documents, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), digest=True)
+    return aligned.withColumn("doc_id", F.col("doc_id").cast("long")).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substrings": op2_substrings,
@@ -107,6 +126,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_order_minhash": op9_order_minhash,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_token_counts": op11_token_counts,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLES: dict[str, str] = {}

@@ -147,3 +147,41 @@ def edits(docs):
         moved = len(text) // 3
         out[d] = (len(text), sha(text[: len(text) - moved] + order[(i + 1) % len(order)][1][:moved]))
     return out
+
+
+def alignments(docs, a, b, bytes_a, bytes_b):
+    """doc -> (n_a, n_b, n_groups, n_links, n_best, count_sum, sha of the groups), whole texts, all pairs of tokens compared.
+
+    ``a`` and ``b`` encode a text, ``bytes_*`` give an id's bytes. ``docs`` is a list, so that ids may repeat.
+    """
+    rows, counts = [], Counter()
+    for _, text in docs:
+        ids = (a(" " + text), b(text)) if text else ([], [])
+        spans = []
+        for side, raw in zip(ids, (bytes_a, bytes_b)):
+            at, out = 0, []
+            for i in side:
+                out.append((at, at + len(raw(i)), i))
+                at += len(raw(i))
+            spans.append(out)
+        spelt = [b"".join(raw(i) for i in side) for side, raw in zip(ids, (bytes_a, bytes_b))]
+        if not text or any(s != (" " + text).encode() for s in spelt):
+            rows.append(None)
+            continue
+        common = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
+        groups, low = [], 0
+        for high in common:
+            groups.append("|".join(",".join(str(i) for s, e, i in side if low <= s and e <= high) for side in spans))
+            low = high
+        links = [(i, j) for s, e, i in spans[0] for t, f, j in spans[1] if s < f and t < e]
+        counts.update(links)
+        rows.append((len(ids[0]), len(ids[1]), len(groups), links, ";".join(groups)))
+    highest = defaultdict(int)
+    for (_, j), n in counts.items():
+        highest[j] = max(highest[j], n)
+    return [
+        (0, 0, 0, 0, 0, 0, "")
+        if r is None
+        else (*r[:3], len(r[3]), sum(counts[p] == highest[p[1]] for p in r[3]), sum(counts[p] for p in r[3]), sha(r[4]))
+        for r in rows
+    ]

@@ -206,12 +206,27 @@ def test_ids_are_the_library_s(made, library, none):
     assert encode(none, *tokenizer()).count() == 0 and round_trip(none, *tokenizer()).count() == 0
 
 
-def test_long_pieces_by_query_and_by_heap(library):
+def test_pieces_of_any_length_take_the_query(library):
     rng = np.random.default_rng(2)
     coder = byte_bpe.Coder(*tokenizer())
     pieces = ["".join(rng.choice(list("abcdenirstüé"), rng.integers(2, 120))) for _ in range(300)] + ["a" * 100, "ha" * 50, "!" * 90]
-    coder._learn(pieces)
-    for p in pieces:
-        want = library.encode_ordinary(p)
-        assert coder.known[p][1] == " ".join(map(str, want)) and coder.known[p][2] == p.encode()
-        assert p.encode() in coder.ranks or coder._contract_long(p.encode()) == want
+    pieces += ["x" * 200_000, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60_000)), "中文" * 4_000, "aaaa" * 999 + "b"]
+    for piece, rows in zip(pieces, coder.batch(pieces)):
+        want = library.encode_ordinary(piece)
+        assert " ".join(r[1] for r in rows) == " ".join(map(str, want)) and b"".join(r[2] for r in rows) == piece.encode()
+        assert sum(r[0] for r in rows) == len(want)
+
+
+def test_coder_forgets_and_learns_again(library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "KNOWN", 5)
+    coder = byte_bpe.Coder(*tokenizer())
+    for text in ["one two  three\n\nfour five's six seven eight", "two three\u3000four\r\n nine 12345 ... 中文", "one nine"] * 3:
+        rows = next(coder.batch([text]))
+        assert " ".join(r[1] for r in rows) == " ".join(map(str, library.encode_ordinary(text)))
+    assert len(coder.known_words.young) <= 6 and len(coder.known_words.old) <= 6
+
+
+def test_unknown_ids_decode_to_null(spark):
+    coded = spark.createDataFrame([(1, [0, 50300]), (2, [None, 5]), (3, None), (4, []), (5, [64, 64])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.bytes for r in decode(coded, *tokenizer()).collect()}
+    assert got[1] is None and got[2] is None and bytes(got[3]) == bytes(got[4]) == b"" and bytes(got[5]) == b"aa"
