@@ -188,7 +188,7 @@ def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", id
     def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in batches:
             con = _coder(path, pattern).con
-            rows = [np.array([-1 if x is None else x for x in (() if i is None else i)], np.int64) for i in ids]
+            rows = [np.array([-1 if x is None or x != x else x for x in (() if i is None else i)], np.int64) for i in ids]
             flat = np.concatenate([np.empty(0, np.int64), *rows])
             doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
             con.register("coded", pd.DataFrame({"doc": doc, "pos": np.arange(len(flat)), "id": flat}))

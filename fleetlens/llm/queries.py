@@ -9,6 +9,7 @@ from fleetlens.llm.alignment import align_tokens
 from fleetlens.llm.byte_bpe import round_trip
 from fleetlens.llm.decontamination import find_contamination
 from fleetlens.llm.language_model import score_texts
+from fleetlens.llm.merkle import fold, manifest, proof_text
 from fleetlens.llm.order_minhash import compare_edits, printed
 from fleetlens.llm.pii import scan_personal_data
 from fleetlens.llm.quality import classify
@@ -115,6 +116,16 @@ def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return aligned.withColumn("doc_id", F.col("doc_id").cast("long")).withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    tampered = {"n_chars": F.when(chosen, more).otherwise(F.col("n_chars").cast("string"))}
+    proven = manifest(_table(spark, folder, "documents"), tampered)
+    folded = proven.withColumn("folded_root", fold(F.col("claimed"), F.col("path")))
+    proof = F.sha2(proof_text(F.col("path")), 256).alias("proof_sha256")
+    return folded.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substrings": op2_substrings,
@@ -128,6 +139,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_token_counts": op11_token_counts,
     "op12_alignment": op12_alignment,
+    "op13_manifest": op13_manifest,
 }
 
 ORACLES: dict[str, str] = {}

@@ -185,3 +185,42 @@ def alignments(docs, a, b, bytes_a, bytes_b):
         else (*r[:3], len(r[3]), sum(counts[p] == highest[p[1]] for p in r[3]), sum(counts[p] for p in r[3]), sha(r[4]))
         for r in rows
     ]
+
+
+def merkle(rows):
+    """For rows (doc_id, source, lang, n_chars, text): doc_id, leaf, subroot, root, proof sha, folded root, verified, in order."""
+
+    def leaf(row):
+        return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def level(nodes):
+        return [sha("".join(nodes[i : i + 2])) for i in range(0, len(nodes), 2)]
+
+    def tree(nodes):
+        """The root, and for each leaf its (before, after) from below."""
+        paths, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for path, i in zip(paths, at):
+                run = nodes[i // 2 * 2 : i // 2 * 2 + 2]
+                path.append(("".join(run[: i % 2]), "".join(run[i % 2 + 1 :])))
+            nodes, at = level(nodes), [i // 2 for i in at]
+        return nodes[0], paths
+
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    trees = []
+    for lang in langs:
+        mine = sorted((r for r in rows if r[2] == lang), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees.append((mine, *tree([leaf(r) for r in mine])))
+    root, tops = tree([t[1] for t in trees]) if trees else (None, [])
+    out = []
+    for (mine, subroot, paths), top in zip(trees, tops):
+        for row, path in zip(mine, paths):
+            doc, n = row[0], row[3]
+            if doc is not None and n is not None and zlib.crc32(str(doc).encode()) % 7 == 0:
+                n += 1
+            node = leaf((*row[:3], n, row[4]))
+            for before, after in path + top:
+                node = sha(before + node + after)
+            proof = sha("".join(b + a for b, a in path + top))
+            out.append((doc, leaf(row), subroot, root, proof, node, node == root))
+    return out
