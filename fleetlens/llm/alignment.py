@@ -13,20 +13,22 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
+import string
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.chunks import code_texts, join_back
 from fleetlens.llm.common import parts_for, stored
 from fleetlens.llm.token_counts import byte_names
-from fleetlens.llm.words import BYTE_LEVEL, word_splitter
+from fleetlens.llm.words import BYTE_LEVEL, LETTERS, word_splitter
 
 SPACE = "▁"
 
@@ -55,7 +57,8 @@ class Pair:
         apart = known and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         lines = not any("\n" in p for p in pieces if len(p) > 1)
         self.shield = len(self.b.encode("\n"))
-        self.words = word_splitter(BYTE_LEVEL if apart else "", lines)
+        joined = {m for p in pieces for m in re.findall(f"(?<=[{LETTERS}])[{re.escape(string.punctuation)}]", p)}
+        self.words = word_splitter(BYTE_LEVEL if apart else "", lines, "".join(sorted(set(string.punctuation) - joined)))
 
     def _bytes_b(self, i: int) -> bytes:
         if self.b.is_byte(i):
@@ -114,40 +117,75 @@ def _pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-#: Distinct words that one task aligns.
-TASK_WORDS = 100_000
+#: Words of chunks that one task groups and aligns.
+TASK_WORDS = 400_000
 
 
-def align_words(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Distinct words with their count, numbers of tokens, groups and links, the groups as text, and links (a, b, m times)."""
-    schema = "word string, n long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<a:int,b:int,m:int>>"
+def align_words(words: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct words and linked pairs of ids, both by the task (``part``) that found them.
+
+    Words: part, word, n_a, n_b, n_groups, n_links, groups as text, links as an array of (a, b) in one binary. Pairs: part, a, b,
+    n, how often the part's words link them in the corpus.
+    """
+    schema = "is_pair boolean, part int, word string, n_a long, n_b long, n_groups long, n_links long, groups string, links binary, a int, b int, n long"
+    kinds = pa.schema([("is_pair", pa.bool_()), ("part", pa.int32()), ("word", pa.string()), *[(c, pa.int64()) for c in COUNTS], ("groups", pa.string()), ("links", pa.binary()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+
+    def made(rows: int, **columns) -> pa.RecordBatch:
+        part = [TaskContext.get().partitionId()] * rows
+        columns = {"is_pair": ["a" in columns] * rows, "part": part} | columns
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in kinds], schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("m", pa.int32())]))
+        pairs: dict[tuple[int, int], int] = defaultdict(int)
         for batch in batches:
-            rows, linked = [], []
-            for a, b, groups, links in _pair(path_a, path_b).align(batch.column("word").to_pylist()):
+            names, rows, linked = batch.column("word").to_pylist(), [], []
+            for (a, b, groups, links), n in zip(_pair(path_a, path_b).align(names), batch.column("n").to_pylist()):
                 text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
                 rows.append((len(a), len(b), len(groups), len(links), text))
-                linked.append([{"a": x, "b": y, "m": m} for (x, y), m in Counter(links).items()])
-            *numbers, texts = zip(*rows) if rows else [()] * 5
-            made = [batch.column("word"), batch.column("n"), *[pa.array(c, pa.int64()) for c in numbers], pa.array(texts, pa.string()), pa.array(linked, kinds)]
-            yield pa.RecordBatch.from_arrays(made, ["word", "n", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
+                linked.append(np.array(links, np.int32).tobytes())
+                for link in links:
+                    pairs[link] += n
+            if rows:
+                *numbers, texts = zip(*rows)
+                yield made(len(rows), word=names, groups=texts, links=linked, **dict(zip(COUNTS, numbers)))
+        found = list(pairs.items())
+        for low in range(0, len(found), 100_000):
+            some = found[low : low + 100_000]
+            yield made(len(some), a=[a for (a, _), _ in some], b=[b for (_, b), _ in some], n=[n for _, n in some])
 
-    total = words.groupBy("word").agg(F.sum("n").alias("n"))
     tasks = parts_for(words.count(), TASK_WORDS)
-    return stored(total.repartition(tasks, "word").mapInArrow(run, schema), "aligned")
+    total = words.select("word", "n").repartition(tasks, "word").groupBy("word").agg(F.sum("n").alias("n"))
+    found = stored(total.mapInArrow(run, schema), "aligned", by="is_pair")
+    return found.where("not is_pair").drop("is_pair", "a", "b", "n"), found.where("is_pair").select("part", "a", "b", "n")
+
 
+def count_links(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The words with n_best and count_sum: their links whose pair's corpus-wide count is its b's highest, and the counts' sum.
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """Linked pairs of ids (a, b) with their corpus-wide count and whether it is the highest of their b."""
-    links = aligned.select("n", F.explode("links").alias("l"))
-    counts = stored(links.groupBy("l.a", "l.b").agg(F.sum(F.col("n") * F.col("l.m")).alias("count")), "pairs")
+    A part's words ask for each of its pairs once.
+    """
+    counts = stored(pairs.groupBy("a", "b").agg(F.sum("n").alias("count")), "counts")
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))
-    return counts.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
+    judged = counts.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
+    asked = pairs.select(F.col("part").alias("of_part"), "a", "b").join(judged, ["a", "b"])
+    shown = ["word", *COUNTS, "n_best", "count_sum", "groups"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = right.column("a").to_numpy().astype(np.int64) << 32 | right.column("b").to_numpy()
+        order = np.argsort(keys)
+        keys, count, best = (x[order] for x in (keys, right.column("count").to_numpy(), right.column("best").to_numpy().astype(np.int64)))
+        links = np.frombuffer(b"".join(left.column("links").to_pylist()), np.int32).reshape(-1, 2).astype(np.int64)
+        at = np.searchsorted(keys, links[:, 0] << 32 | links[:, 1])
+        sizes = left.column("n_links").to_numpy()
+        sums = [pa.array(np.add.reduceat(x[at], np.cumsum(sizes) - sizes)) for x in (best, count)]
+        return pa.table([*[left.column(c) for c in ["word", *COUNTS]], *sums, left.column("groups")], shown)
+
+    schema = "word string, " + ", ".join(f"{c} long" for c in shown[1:-1]) + ", groups string"
+    return aligned.groupBy("part").cogroup(asked.groupBy("of_part")).applyInArrow(run, schema)
 
 
-SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
+SUMS = [*COUNTS, "n_best", "count_sum"]
 
 
 def align_tokens(
@@ -158,17 +196,12 @@ def align_tokens(
     ``groups`` is text such as ``a1,a2|b1;a3|b2,b3``, or its SHA-256 with ``digest``. A link is best if its pair's count is its
     B id's highest, ties included; ``count_sum`` adds up the counts of a text's links. Both paths are the same on every executor.
     A is encoded on space+text, B puts that space in front itself; special tokens' strings are plain text. Texts that are null
-    or empty, or that B's pieces do not spell byte for byte, have no tokens: zeros and '' and no part in the counts. Very long texts are
-    taken whole. Repeated rows and ids stay and count each time; null ids stay null; an empty table gives an empty one; other
-    columns, whatever their names, are ignored.
+    or empty, or that B's pieces do not spell byte for byte, have no tokens: zeros and '' and no part in the counts. Very long
+    texts are taken whole. Repeated rows and ids stay and count each time; null ids stay null; an empty table gives an empty one;
+    other columns, whatever their names, are ignored.
     """
     words, texts = code_texts(docs, lambda: _pair(path_a, path_b).split, id_col, text_col)
-    aligned = align_words(words, path_a, path_b)
-    linked = aligned.select("word", F.explode("links").alias("l")).select("word", "l.*").join(pair_counts(aligned), ["a", "b"])
-    sums = linked.groupBy("word").agg(
-        F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("count")).alias("count_sum")
-    )
-    found = aligned.drop("n", "links").join(sums, "word")
+    found = count_links(*align_words(words, path_a, path_b))
 
     def build(columns: dict[str, pa.Array], codes: list) -> dict[str, pa.Array]:
         table = np.stack([columns[name].to_numpy(zero_copy_only=False) for name in SUMS])

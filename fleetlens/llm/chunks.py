@@ -19,8 +19,25 @@ from pyspark.sql.types import StructField, StructType
 
 from fleetlens.llm.common import stored
 
-#: Characters of a chunk.
-CHUNK_CHARS = 24_000_000
+_ZSTD = pa.Codec("zstd")
+
+
+def pack(codes: np.ndarray) -> bytes:
+    """Numbers from 0 as planes of bytes, low to high, compressed."""
+    if not len(codes):
+        return b""
+    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return len(codes).to_bytes(4, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    """The numbers ``pack`` was given."""
+    if not raw:
+        return np.empty(0, np.int32)
+    size = 4 * int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(_ZSTD.decompress(raw[4:], size, asbytes=True), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.int32)
+
 
 Split = Callable[[str], "Sequence[str] | None"]
 
@@ -43,7 +60,7 @@ def code_texts(docs: DataFrame, split: Callable[[], Split], id_col: str, text_co
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
             start = 0
             while start < len(texts):
-                chunk, known, codes, uses, size, end = f"{task}-{number}", {}, [], [], 0, start
+                chunk, known, codes, size, end = f"{task}-{number}", {}, [], 0, start
                 while end < len(texts) and (end == start or size + len(texts[end] or "") <= chars):
                     words = cut(texts[end]) if texts[end] else ()
                     size += len(texts[end] or "")
@@ -51,17 +68,23 @@ def code_texts(docs: DataFrame, split: Callable[[], Split], id_col: str, text_co
                     if words is None:
                         codes.append(None)
                         continue
-                    found = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
-                    codes.append(found.tobytes())
-                    uses.append(found)
+                    codes.append(np.fromiter([known.setdefault(w, len(known)) for w in words], np.int32, len(words)))
+                uses = [c for c in codes if c is not None]
                 counts = np.bincount(np.concatenate([np.empty(0, np.int32), *uses]), minlength=len(known))
+                # frequent words get small numbers, which pack well
+                order = np.argsort(-counts, kind="stable")
+                number_of = np.empty(len(known), np.int32)
+                number_of[order] = np.arange(len(known))
+                counts = counts[order]
+                codes = [None if c is None else pack(number_of[c]) for c in codes]
                 rows, none = end - start, pa.nulls
                 texts_of = [
                     pa.array([False] * rows), pa.array([chunk] * rows), none(rows, pa.int32()), none(rows, pa.string()),
                     none(rows, pa.int64()), pa.array(codes, pa.binary()), ids.slice(start, rows),
                 ]
                 yield pa.RecordBatch.from_arrays(texts_of, names)
-                words = list(known)
+                names_of = list(known)
+                words = [names_of[i] for i in order]
                 for low in range(0, len(words), 100_000):
                     part = words[low : low + 100_000]
                     rows = len(part)
@@ -92,7 +115,7 @@ def join_back(texts: DataFrame, words: DataFrame, found: DataFrame, build: Calla
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ordered = right.sort_by("place")
         columns = {n: ordered.column(n).combine_chunks() for n in ordered.column_names if n not in ("of_chunk", "place")}
-        codes = [None if c is None else np.frombuffer(c, np.int32) for c in left.column("codes").to_pylist()]
+        codes = [None if c is None else unpack(c) for c in left.column("codes").to_pylist()]
         made = build(columns, codes)
         return pa.table([left.column("doc_id"), *[made[f.name] for f in extra.fields]], [f.name for f in whole.fields])
 

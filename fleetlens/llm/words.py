@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -11,21 +12,24 @@ import regex
 #: The pre-tokenizer pattern of the byte-level vocabularies. Fixed value.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-# No match of BYTE_LEVEL reaches over the place between a visible character and a space or line feed behind it, nor over the
-# place between a line feed that stands alone and a visible character. More white space than one line feed stays with the word
-# behind it, as the pattern looks ahead. What Python takes for white space includes all that the pattern does.
-_LINES = r"\n(?!\s)|\s*(?:\S+|[^\S \n]\s*)+|\s+"
-_SPACES = r"\s*(?:\S+|[^\S ]\s*)+|\s+"
+#: Letters behind which a mark starts a piece of its own.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
-def word_splitter(pattern: str, lines: bool = True) -> Callable[[str], list[str]]:
+def word_splitter(pattern: str, lines: bool = True, marks: str = string.punctuation) -> Callable[[str], list[str]]:
     """Cuts a text into words that no match of ``pattern`` crosses; the text itself for a pattern nothing is known of.
 
-    With ``lines`` a lone line feed is a word of its own.
+    No match of BYTE_LEVEL reaches over the place between a visible character and a space or line feed behind it, nor between a
+    lone line feed and a visible character, nor between a letter and a mark. More white space than one character stays with the
+    word behind it, as the pattern looks ahead; what Python takes for white space includes all that the pattern does. ``lines``
+    says whether a lone line feed is a word of its own, ``marks`` which marks may start a word within a run of visible characters.
     """
     if pattern != BYTE_LEVEL:
         return lambda text: [text]
-    return re.compile(_LINES if lines else _SPACES).findall
+    mark, feed = f"[{re.escape(marks)}]" if marks else r"(?!)", r"\n" if lines else ""
+    visible = rf"[^\s{re.escape(marks)}]+|(?<![{LETTERS}]){mark}|[^\S {feed}]\s*"
+    alone = r"\n(?!\s)|" if lines else ""
+    return re.compile(rf"{alone}(?=[\s\S])\s*(?:{mark})?(?:{visible})*").findall
 
 
 def piece_splitter(pattern: str) -> Callable[[str], list[str]]:

@@ -1,6 +1,7 @@
 """Token counts and alignment against the libraries on whole texts."""
 
 import random
+import string
 import zlib
 
 import brute
@@ -39,13 +40,20 @@ def test_words_end_where_pieces_do():
 
     assert BYTE_LEVEL == public_tokenizers.PATTERN
     whole, fast = regex.compile(BYTE_LEVEL).findall, piece_splitter(BYTE_LEVEL)
-    for lines in (True, False):
-        words = word_splitter(BYTE_LEVEL, lines)
+    for lines, marks in ((True, ",.!'"), (False, ""), (True, string.punctuation), (False, "-]^")):
+        words = word_splitter(BYTE_LEVEL, lines, marks)
         for text in noise(3000, 12) + [t for t in ODD if t]:
             assert [p for w in words(text) for p in fast(w)] == whole(text)
     assert word_splitter("[a-z]+")("a b") == ["a b"]
 
 
+def test_codes_are_packed_whole():
+    import numpy as np
+
+    for codes in ([], [0], [2**24 - 1, 0, 255, 256, 65536], list(range(70_000))):
+        assert chunks.unpack(chunks.pack(np.array(codes, np.int32))).tolist() == codes
+
+
 def test_parts_are_never_joined():
     import numpy as np
 
