@@ -39,6 +39,9 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.int32)
 
 
+#: Characters of a chunk.
+CHUNK_CHARS = 30_000_000
+
 Split = Callable[[str], "Sequence[str] | None"]
 
 
