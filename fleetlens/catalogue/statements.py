@@ -192,6 +192,35 @@ def _guarded(name: str):
     return query
 
 
+INSERT = "INSERT INTO orders_copy SELECT * FROM orders WHERE o_orderstatus = 'F'"
+
+
+def sql_insert(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows put into a copy of the orders by the runner, which tells how many; beside them what the copy holds then."""
+    place = work_dir(spark, "shop")
+    orders = Views(spark, folder).table("orders")
+    orders.write.parquet(f"{place}/orders.parquet")
+    orders.where("o_orderstatus = 'P'").write.parquet(f"{place}/orders_copy.parquet")
+    registry = Registry.from_config({"datasources": [{"name": "shop", "type": "parquet", "path": place}]})
+    policy = Policy(allowed_sources=("shop",), writable_tables=("shop.orders_copy",))
+    session = GuardedSession(spark, registry, "shop", ["orders", "orders_copy"], policy)
+    result = session.run(INSERT)
+    if result.df is None:
+        raise RuntimeError(result.error)
+    held = spark.read.parquet(f"{place}/orders_copy.parquet").agg(F.count("*").alias("held"), F.sum("o_orderkey").alias("keys"))
+    return held.withColumn("affected_rows", F.lit(result.df.first()["affected_rows"]))
+
+
+def sql_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit trail of a script that was run twice under one name."""
+    trail = work_dir(spark, "trail")
+    registry = Registry.from_config({"datasources": [{"name": "lake", "type": "parquet", "path": folder}]})
+    session = GuardedSession(spark, registry, "lake", ["orders"], Policy(allowed_sources=("lake",)), trail)
+    for _ in range(2):
+        session.run_batch(SCRIPT, "nightly")
+    return spark.read.parquet(trail).select("statement_id", "db", "rows", "sql", "preview")
+
+
 def sql_batch(spark: SparkSession, folder: str) -> DataFrame:
     """What became of every statement of a script."""
     results = _session(spark, folder, ["orders"]).run_batch(SCRIPT)
@@ -204,7 +233,7 @@ QUERIES = {
     for f in [
         audit_read_only, audit_multi, audit_table_refs, audit_tables_allowed, tables_not_allowed, audit_writable,
         audit_procedures, audit_row_cap, audit_length, audit_rewrite, audit_verdicts, audit_verdict_counts, split_statements,
-        audit_rows, csv_lines, csv_export, guarded_append, capped_rows, sql_batch, *map(_guarded, GUARDED),
+        audit_rows, csv_lines, csv_export, guarded_append, capped_rows, sql_batch, sql_insert, sql_audit, *map(_guarded, GUARDED),
     ]
 }
 
@@ -255,6 +284,11 @@ ORACLES = {
  SELECT 0 AS pos, 200 AS code, CAST(1 AS BIGINT) AS found, FALSE AS truncated, 'n' AS columns UNION ALL SELECT 1, 403, 0, FALSE, ''
  UNION ALL SELECT 2, 200, least(n, 100), n > 100, 'o_orderkey' FROM c UNION ALL SELECT 3, 502, 0, FALSE, ''
  UNION ALL SELECT 4, 403, 0, FALSE, '')""",
+    "sql_insert": """SELECT count(*) FILTER (o_orderstatus = 'F') AS affected_rows, count(*) FILTER (o_orderstatus IN ('F', 'P')) AS held,
+ CAST(sum(o_orderkey) FILTER (o_orderstatus IN ('F', 'P')) AS BIGINT) AS keys FROM orders""",
+    "sql_audit": """SELECT 'nightly:' || pos AS statement_id, 'lake' AS db, rows, sql, sql AS preview FROM (
+ SELECT 0 AS pos, CAST(1 AS BIGINT) AS rows, 'SELECT count(*) AS n FROM orders WHERE o_orderstatus = ''F'';' AS sql
+ UNION ALL SELECT 2, (SELECT least(count(*), 100) FROM orders), 'SELECT o_orderkey FROM orders ORDER BY o_orderkey;')""",
     **{name: text for name, text in GUARDED.items()},
     "sql_guarded": "SELECT l_orderkey, l_linenumber, l_partkey, (SELECT count(*) FROM lineitem) > 100 AS truncated FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 100",
 }

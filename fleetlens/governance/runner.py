@@ -1,7 +1,7 @@
-"""Running read-only SQL under a policy.
+"""Running SQL under a policy.
 
-Spark parses, resolves and runs the statements. What is added here is who may name what, how
-many rows come back and how long it may take.
+Spark parses, resolves and runs the statements. What is added here is who may name what, which
+tables take rows, how many rows come back, how long it may take, and the audit trail.
 """
 
 from __future__ import annotations
@@ -19,17 +19,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens import fixed
 from fleetlens.governance.checks import statement_body, verdict
+from fleetlens.governance.names import Insert, dynamic_names, insert_of, kind, parse, relations, resolve, written_names
 from fleetlens.governance.policy import Policy
 from fleetlens.governance.rowcap import normalise_limit
 from fleetlens.governance.split import split_statements
 from fleetlens.operators.paging import RowLimitExceeded, first_rows, permitted_cap
-from fleetlens.sinks.audit import AUDIT
-from fleetlens.sources.registry import Registry
+from fleetlens.sinks.append import append_counted, fitted, is_target_writable
+from fleetlens.sinks.audit import AUDIT, append_once
+from fleetlens.sources.registry import Registry, UnknownSource
 
-COMMANDS = ("SHOW", "DESC", "DESCRIBE", "EXPLAIN")
+#: Commands that tell something about one table, and what they may be asked about is checked.
+ABOUT_TABLES = ("ShowColumns", "DescribeRelation", "DescribeColumn")
 
 _QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*+'?|\"(?:[^\"\\]|\\.)*+\"?|--[^\n]*|/\*.*?(?:\*/|\Z)", re.DOTALL)
-_REACHING_OUT = re.compile(r"\b(?:reflect|try_reflect|java_method|identifier)\s*\(", re.IGNORECASE)
+_READING = re.compile(r"\s*(?:SELECT|SHOW|DESC|DESCRIBE|EXPLAIN|WITH)\b", re.IGNORECASE)
+_REACHING_OUT = re.compile(r"\b(?:reflect|try_reflect|java_method)\s*\(", re.IGNORECASE)
 
 
 class Refused(ValueError):
@@ -62,9 +66,15 @@ class GuardedSession:
     """A session of its own in which only a source's permitted tables exist."""
 
     def __init__(
-        self, spark: SparkSession, registry: Registry, source: str, tables: Iterable[str], policy: Policy
+        self,
+        spark: SparkSession,
+        registry: Registry,
+        source: str,
+        tables: Iterable[str],
+        policy: Policy,
+        audit: str | None = None,
     ):
-        self.registry, self.source, self.policy = registry, source, policy
+        self.registry, self.source, self.policy, self.audit = registry, source, policy, audit
         self.session = spark.newSession()
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
         self.tables = [t for t in tables if policy.table_allowed(t)]
@@ -93,34 +103,112 @@ class GuardedSession:
         kept = {"allowed_tables": (), "max_limit": (1 << 63) - 1}
         return Policy(**{**vars(self.policy), **kept})
 
-    def _check_names(self, sql: str) -> None:
-        """Refuses what could reach past the permitted tables: stored tables and open-ended calls."""
-        bare = _QUOTED.sub(" ", sql)
-        if _REACHING_OUT.search(bare):
-            raise Refused(403, "function not allowed")
-        places = {d.name for d in self.session.catalog.listDatabases()}
-        places |= {c.name for c in self.session.catalog.listCatalogs()} | {"global_temp"}
-        for place in places:
-            if re.search(rf"(?<![\w.])`?{re.escape(place)}`?\s*\.", bare, re.IGNORECASE):
-                raise Refused(403, f"{place} is out of reach")
-        own = {t.lower() for t in self.tables}
-        stored = {t.name.lower() for t in self.session.catalog.listTables() if not t.isTemporary} - own
-        if stored & set(re.findall(r"\w+", bare.lower())):
+    def _check_names(self, plan) -> None:
+        """Refuses names that point out of the session before Spark looks them up, as a catalogue is loaded for that."""
+        if dynamic_names(plan):
+            raise Refused(403, "names cannot be worked out")
+        places = {d.name.lower() for d in self.session.catalog.listDatabases()}
+        places |= {c.name.lower() for c in self.session.catalog.listCatalogs()} | {"global_temp"}
+        for *place, table in written_names(plan):
+            catalogue = place and self.session.conf.get(f"spark.sql.catalog.{place[0]}", None)
+            if len(place) > 1 or catalogue or place and place[0].lower() in places:
+                raise Refused(403, f"{'.'.join([*place, table])} is out of reach")
+
+    def _check_reads(self, plan) -> None:
+        """Refuses a statement that resolves to anything stored but the permitted tables."""
+        views, stored = relations(resolve(self.session, plan))
+        if stored or views - {t.lower() for t in self._opened}:
             raise Refused(403, "table not allowed")
 
+    def _command(self, plan, body: str) -> DataFrame:
+        """A command that tells about permitted tables or explains a permitted query."""
+        what = kind(plan)
+        if what == "ShowTables" and not written_names(plan) and kind(plan.namespace()) in ("CurrentNamespace", "ResolvedNamespace") and plan.pattern().isEmpty():
+            rows = [("", t, True) for t in sorted(self.tables)]
+            return self.session.createDataFrame(rows, "namespace string, tableName string, isTemporary boolean")
+        if what == "ExplainCommand":
+            self._check_names(plan.logicalPlan())
+            self._check_reads(plan.logicalPlan())
+        elif what == "DescribeQueryCommand":
+            self._check_names(plan.plan())
+            self._check_reads(plan.plan())
+        elif what in ABOUT_TABLES:
+            own = {t.lower() for t in self._opened}
+            names = written_names(plan)
+            namespace = what == "ShowColumns" and plan.namespace().isDefined()
+            if namespace or not names or any(len(n) > 1 or n[0].lower() not in own for n in names):
+                raise Refused(403, "table not allowed")
+        else:
+            raise Refused(403, "command not allowed")
+        return self.session.sql(body)
+
     def _rows(self, body: str) -> tuple[DataFrame, bool, int]:
-        bare = _QUOTED.sub(" ", body).split(None, 1)
-        if bare and bare[0].upper() in COMMANDS:
-            df, cap = self.session.sql(body), self.policy.max_limit
+        capped = normalise_limit(body)
+        try:
+            plan = parse(self.session, capped.text)
+        except Py4JJavaError:
+            plan = parse(self.session, body)
+        self._check_names(plan)
+        if plan.getClass().getName().startswith("org.apache.spark.sql.catalyst.plans.logical.Show") or kind(plan) in ABOUT_TABLES or kind(plan).endswith("Command") or kind(plan).startswith("Describe"):
+            df, cap = self._command(plan, body), self.policy.max_limit
         else:
-            capped = normalise_limit(body)
             cap = permitted_cap(capped.cap, self.policy.default_limit, self.policy.max_limit)
             # as a subquery Spark takes neither commands nor writes, in whatever disguise
             self.session.sql(f"SELECT * FROM (\n{capped.text}\n)")
+            self._check_reads(plan)
             df = self.session.sql(capped.text)
         rows, more = first_rows(df, cap)
         return self.session.createDataFrame(rows, df.schema), more, len(rows)
 
+    def _insert(self, insert: Insert) -> DataFrame:
+        """Appends a query's rows to a permitted table of a file source and tells how many they were."""
+        *place, table = insert.target
+        here = self.registry.get(self.source)
+        owner = here.name if not place or place == [here.service] else ".".join(place)
+        if not is_target_writable(f"{owner}.{table}", self.policy):
+            raise Refused(403, f"table '{'.'.join(insert.target)}' not writable")
+        target = self.registry.get(owner)
+        if target.type != "parquet":
+            raise Refused(403, "rows are written to file sources only")
+        plan = parse(self.session, insert.query)
+        self._check_names(plan)
+        self._open_tables(insert.query)
+        self._check_reads(plan)
+        stored = self.registry.open(self.session, owner, table)
+        rows = fitted(self.session.sql(insert.query), stored.schema, insert.columns)
+        written = append_counted(rows, f"{target.path.rstrip('/')}/{table}.parquet")
+        # the files a view lists are those of the time it was made
+        self._opened.discard(next((t for t in self._opened if t.lower() == table.lower()), table))
+        return written
+
+    def _insert_of(self, sql: str) -> Insert | None:
+        """The INSERT a statement is, checked as its query would be."""
+        text = sql.strip().rstrip(";").rstrip()
+        if not re.match(r"INSERT\b", text, re.IGNORECASE):
+            return None
+        try:
+            insert = insert_of(self.session, text)
+        except PySparkException:
+            return None
+        if insert:
+            self._judge(f"SELECT * FROM (\n{insert.query}\n)")
+            if len(sql) > self.policy.max_sql_chars:
+                raise Refused(400, f"SQL too long: {len(sql)} > {self.policy.max_sql_chars}")
+            if _REACHING_OUT.search(_QUOTED.sub(" ", insert.query)):
+                raise Refused(403, "function not allowed")
+        return insert
+
+    def _answer(self, sql: str) -> tuple[DataFrame, bool, int]:
+        if insert := self._insert_of(sql):
+            return self._insert(insert), False, 1
+        body = self._judge(sql)
+        if not _READING.match(_QUOTED.sub(" ", body)):
+            raise Refused(403, "of writes, only a plain INSERT INTO is run")
+        if _REACHING_OUT.search(_QUOTED.sub(" ", body)):
+            raise Refused(403, "function not allowed")
+        self._open_tables(body)
+        return self._rows(body)
+
     def run(self, sql: str) -> Result:
         """Checks, runs and caps one statement; a failure is a result too."""
         began = time.monotonic()
@@ -135,13 +223,10 @@ class GuardedSession:
         timer = threading.Timer(self.policy.query_timeout, expire)
         df, rows, truncated, code, error = None, 0, False, 200, None
         try:
-            body = self._judge(sql)
-            self._check_names(body)
-            self._open_tables(body)
             jobs.addJobTag(tag)
             timer.start()
-            df, truncated, rows = self._rows(body)
-        except (Refused, RowLimitExceeded) as refusal:
+            df, truncated, rows = self._answer(sql)
+        except (Refused, RowLimitExceeded, UnknownSource) as refusal:
             code, error = refusal.code, str(refusal)
         except (PySparkException, Py4JJavaError) as failure:
             df = None
@@ -152,30 +237,48 @@ class GuardedSession:
         cost = int((time.monotonic() - began) * 1000)
         return Result(self.source, sql, df, rows, truncated, cost, code, error)
 
-    def run_batch(self, script: str) -> list[Result]:
-        """Every statement of a script in order; one that fails does not stop the next."""
+    def run_batch(self, script: str, batch: str | None = None) -> list[Result]:
+        """Every statement of a script in order; one that fails does not stop the next.
+
+        ``batch`` names the run in the audit trail: a batch of that name run again leaves the trail as it is.
+        """
         one = self.session.sql("SELECT :script AS s", args={"script": script})
-        return [self.run(sql) for sql in one.select(split_statements(F.col("s"))).first()[0]]
+        results = [self.run(sql) for sql in one.select(split_statements(F.col("s"))).first()[0]]
+        if self.audit:
+            append_once(audit_of(self.session, results, batch or uuid.uuid4().hex), self.audit, "statement_id")
+        return results
 
 
 def run_sql(
-    spark: SparkSession, registry: Registry, source: str, sql: str, policy: Policy, tables: Iterable[str]
+    spark: SparkSession, registry: Registry, source: str, sql: str, policy: Policy, tables: Iterable[str], audit: str | None = None
 ) -> Result:
-    return GuardedSession(spark, registry, source, tables, policy).run(sql)
+    guarded = GuardedSession(spark, registry, source, tables, policy, audit)
+    result = guarded.run(sql)
+    if audit:
+        append_once(audit_of(guarded.session, [result], uuid.uuid4().hex), audit, "statement_id")
+    return result
 
 
 def run_batch(
-    spark: SparkSession, registry: Registry, source: str, script: str, policy: Policy, tables: Iterable[str]
+    spark: SparkSession,
+    registry: Registry,
+    source: str,
+    script: str,
+    policy: Policy,
+    tables: Iterable[str],
+    audit: str | None = None,
+    batch: str | None = None,
 ) -> list[Result]:
-    return GuardedSession(spark, registry, source, tables, policy).run_batch(script)
+    return GuardedSession(spark, registry, source, tables, policy, audit).run_batch(script, batch)
 
 
-def audit_of(spark: SparkSession, results: list[Result]) -> DataFrame:
-    """Audit rows of the statements that ran."""
+def audit_of(spark: SparkSession, results: list[Result], batch: str | None = None) -> DataFrame:
+    """Audit rows of the statements that ran; with ``batch``, each under a name of its own in that batch."""
     now = time.time()
     rows = [
-        (int(now * 1000), r.source, r.rows, r.cost_ms, r.sql, r.sql[: fixed.AUDIT_SQL_CHARS])
-        for r in results
+        (int(now * 1000), r.source, r.rows, r.cost_ms, r.sql, r.sql[: fixed.AUDIT_SQL_CHARS], f"{batch}:{i}")
+        for i, r in enumerate(results)
         if r.error is None
     ]
-    return spark.createDataFrame(rows, AUDIT)
+    named = spark.createDataFrame(rows, f"{AUDIT}, statement_id string")
+    return named if batch else named.drop("statement_id")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql.types import StructType
 
 from fleetlens.governance.policy import Policy
 
@@ -31,7 +34,27 @@ def guarded_append(df: DataFrame, target: str, folder: str, policy: Policy) -> D
     if not is_target_writable(target, policy):
         raise NotWritable(f"{target} is not writable")
     source, _, table = target.partition(".")
+    return append_counted(df, f"{folder.rstrip('/')}/{source}/{table}")
+
+
+def append_counted(df: DataFrame, path: str) -> DataFrame:
+    """Appends ``df`` to the table at ``path``; one row with the number of rows, counted while they are written."""
     written = Observation()
     counted = df.observe(written, F.count(F.lit(1)).alias("affected_rows"))
-    counted.write.mode("append").parquet(f"{folder.rstrip('/')}/{source}/{table}")
+    counted.write.mode("append").parquet(path)
     return df.sparkSession.createDataFrame([(written.get["affected_rows"],)], "affected_rows bigint")
+
+
+def fitted(df: DataFrame, schema: StructType, columns: Sequence[str] = ()) -> DataFrame:
+    """A query's columns, taken by place, as the columns of a table.
+
+    ``columns`` are the table's columns they are meant for, all in order if none are named; the table's others are null. A value
+    that does not fit its column's type is an error when the rows are written.
+    """
+    names = {f.name.lower(): f.name for f in schema.fields}
+    wanted = [names.get(c.lower()) for c in columns] if columns else schema.names
+    if None in wanted or len(set(wanted)) < len(wanted) or len(wanted) != len(df.columns):
+        raise AnalysisException(f"{len(df.columns)} values do not fit the columns ({', '.join(columns or schema.names)})")
+    given = df.toDF(*[f"_{i}" for i in range(len(wanted))])
+    place = {name: f"_{i}" for i, name in enumerate(wanted)}
+    return given.select(*[(F.col(place[f.name]) if f.name in place else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
