@@ -53,7 +53,7 @@ def code_texts(docs: DataFrame, split: Callable[[], Split], id_col: str, text_co
     how often the word occurs in the chunk.
     """
     kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType
-    head = "is_word boolean, chunk string, place int, word string, n long, codes binary"
+    head = "is_word boolean, chunk long, place int, word string, n long, codes binary"
     schema = StructType([*StructType.fromDDL(head).fields, StructField("doc_id", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +63,7 @@ def code_texts(docs: DataFrame, split: Callable[[], Split], id_col: str, text_co
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
             start = 0
             while start < len(texts):
-                chunk, known, codes, size, end = f"{task}-{number}", {}, [], 0, start
+                chunk, known, codes, size, end = task << 32 | number, {}, [], 0, start
                 while end < len(texts) and (end == start or size + len(texts[end] or "") <= chars):
                     words = cut(texts[end]) if texts[end] else ()
                     size += len(texts[end] or "")
@@ -113,6 +113,8 @@ def join_back(texts: DataFrame, words: DataFrame, found: DataFrame, build: Calla
     """
     extra = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     whole = StructType([texts.schema["doc_id"], *extra.fields])
+    # as many tasks as chunks, which are of bounded size
+    tasks = max(1, texts.select("chunk").distinct().count())
     answers = words.select(F.col("chunk").alias("of_chunk"), "place", "word").join(found, "word").drop("word")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -122,4 +124,5 @@ def join_back(texts: DataFrame, words: DataFrame, found: DataFrame, build: Calla
         made = build(columns, codes)
         return pa.table([left.column("doc_id"), *[made[f.name] for f in extra.fields]], [f.name for f in whole.fields])
 
-    return texts.groupBy("chunk").cogroup(answers.groupBy("of_chunk")).applyInArrow(run, whole)
+    left, right = texts.repartition(tasks, "chunk"), answers.repartition(tasks, "of_chunk")
+    return left.groupBy("chunk").cogroup(right.groupBy("of_chunk")).applyInArrow(run, whole)
