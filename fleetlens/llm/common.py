@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.session import work_dir
 
-_WRITTEN: list[str] = []
+_WRITTEN: dict[str, list[str]] = {}
+_OWNER: ContextVar[str] = ContextVar("owner", default="")
 
 #: ASCII white space; the words of most operators are what stands between it. Fixed value.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -23,15 +28,26 @@ def stored(df: DataFrame, purpose: str, by: str | None = None) -> DataFrame:
     path = work_dir(spark, purpose)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.setdefault(_OWNER.get(), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes every working table written so far; call it once the results that read them are written."""
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Working tables written within belong to ``owner``, who alone removes them."""
+    token = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+
+
+def release(spark: SparkSession, owner: str = "") -> None:
+    """Removes the owner's working tables written so far; call it once the results that read them are written."""
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    paths = _WRITTEN.pop(owner, [])
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -103,7 +103,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     first, made = TaskContext.get().partitionId() << 32, 0
     open_ = {False: _Chunk(), True: _Chunk()}
     for batch in batches:
-        ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
+        ids = [None if i is None else int(i) for i in batch["doc_id"]]
         for doc_id, text in zip(ids, batch["text"]):
             tuning = fold_of(doc_id) == TUNING_FOLD
             chunk = open_[tuning]
@@ -291,7 +291,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     each time. Words never seen in training keep a probability through the uniform part. An empty table gives an empty
     table; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # as text, since a null would turn a batch's whole numbers into floats
+    docs = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = stored(docs.mapInPandas(_chunks, _CHUNK), "chunks")
     buckets = parts_for(2 * (chunks.agg(F.sum("size")).first()[0] or 0), BUCKET_KEYS)
     asked = chunks.mapInPandas(_asker(buckets), "level int, bucket int, chunk long, tuning boolean, keys binary, counts binary")

@@ -192,12 +192,12 @@ def redact_live(
 
 
 def _without(text: Column, spans: Column) -> Column:
-    def reach(i: Column) -> Column:
-        return F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda s: s["end"])), F.lit(0))
+    """The text with each run of overlapping spans, in order of their starts, replaced; one fold that carries the reach along."""
 
-    def piece(span: Column, i: Column) -> Column:
-        gap = F.substring(text, reach(i) + 1, F.greatest(span["start"] - reach(i), F.lit(0)))
-        return F.when(span["start"] >= reach(i), F.concat(gap, F.lit(REDACTED))).otherwise(F.lit(""))
+    def step(done: Column, span: Column) -> Column:
+        gap = F.substring(text, done["reach"] + 1, F.greatest(span["start"] - done["reach"], F.lit(0)))
+        more = F.when(span["start"] >= done["reach"], F.array(gap, F.lit(REDACTED))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.concat(done["parts"], more).alias("parts"), F.greatest(done["reach"], span["end"]).alias("reach"))
 
-    tail = F.substring(text, reach(F.size(spans)) + 1, F.char_length(text))
-    return F.concat(F.array_join(F.transform(spans, piece), ""), tail)
+    none = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("reach"))
+    return F.aggregate(spans, none, step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, done["reach"] + 1, F.char_length(text))))

@@ -106,6 +106,13 @@ def test_scores_of_nothing(spark, none):
     assert np.allclose(learn_weights(pd.DataFrame(), 3).sum(axis=1), 1)
 
 
+def test_scores_keep_large_ids_beside_null_ones(spark):
+    ids = [9007199254740993, 9007199254740995, None, -(2**63), 2**63 - 1]
+    docs = spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string").repartition(1)
+    got = {r.doc_id: r.held_out for r in score_texts(docs).collect()}
+    assert got == {i: language_model.fold_of(i) == 2 for i in ids}
+
+
 def test_fingerprints_and_components(made):
     rows, docs = made
     prints = {d: brute.simhash(t) for d, t in rows}

@@ -92,3 +92,56 @@ def test_stages_take_an_empty_table(spark):
 def test_run_is_its_stages(spark, staged):
     want = sorted(map(tuple, staged[-1][2].collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).collect())) == want
+
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def odd_rows():
+    """Null ids, one id over two texts, repeated rows, null and empty texts."""
+    texts = [" ".join(WORDS[(i * 7 + j * (i + 3)) % 20] + str(i) for j in range(30)) for i in range(4)]
+    return [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (9, texts[2]), (None, texts[2]), (7, None), (8, ""), (None, None)], texts
+
+
+def test_near_dedup_loses_no_text(spark):
+    rows, texts = odd_rows()
+    docs = spark.createDataFrame([(d, t, 1, "x", "y") for d, t in rows], "doc_id long, text string, _near_key int, component_id string, key string").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, None)], key=str)
+
+
+def test_decontaminate_judges_rows(spark):
+    item = next(r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("length(text) > 100").collect())
+    rows = [(None, f"before {item} after"), (5, item), (5, "clean words only"), (None, "clean"), (6, None), (7, ""), (8, item), (8, item)]
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, _row_key int, items string").repartition(3)
+    kept = corpus_pipeline.decontaminate(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, "clean words only"), (None, "clean"), (6, None), (7, "")], key=str)
+
+
+def test_owners_remove_their_own_tables(spark):
+    from fleetlens.llm.common import owned, stored
+
+    with owned("a"):
+        mine = stored(spark.range(3), "mine")
+    other = stored(spark.range(4), "other")
+    release(spark, "b")
+    assert mine.count() == 3
+    release(spark, "a")
+    assert other.count() == 4
+
+
+def test_many_live_secrets_in_one_text(spark):
+    import time
+
+    from fleetlens.llm.secret_scan import redact_live
+
+    text = " ".join(f"password=q{i}zX{i * 7919}" for i in range(4_000))
+    docs = spark.createDataFrame([(1, text, "s"), (2, "clean é", "s")], "doc_id long, text string, source string")
+    began = time.time()
+    got = {r.doc_id: r.text for r in redact_live(docs).collect()}
+    words = got[1].split()
+    assert got[2] == "clean é" and len(words) == 4_000 and time.time() - began < 30
+    assert sum("REDACTED" in w for w in words) > 3_000 and all("REDACTED" in w or w in text for w in words)
