@@ -22,8 +22,9 @@ MISSING = "page missing"
 
 
 def _copy(seq: str | None) -> list[Column]:
-    """What tells copies of a page apart: how new they are, then what they hold."""
-    return [(F.col(seq) if seq else F.lit(0)).alias("_seq"), F.xxhash64("data", "code", "msg").alias("_hash")]
+    """The order of a page's copies: how new they are, then an answer over a failure, then what they hold."""
+    good = F.coalesce(F.col("code") == 0, F.lit(False)).alias("_good")
+    return [(F.col(seq) if seq else F.lit(0)).alias("_seq"), good, F.xxhash64("data", "code", "msg").alias("_hash")]
 
 
 def _headers(pages: DataFrame, keys: Sequence[str], seq: str | None) -> DataFrame:
@@ -79,7 +80,8 @@ def page_errors(pages: DataFrame, keys: Sequence[str], max_pages: int | None = N
 def union_pages(pages: DataFrame, keys: Sequence[str], max_pages: int | None = None, seq: str | None = None) -> DataFrame:
     """All rows of the pages a reader asks for, with their page and place in it.
 
-    Of a page that landed more than once the copy of the highest ``seq`` counts. A listing that
+    Of a page that landed more than once the copy of the highest ``seq`` counts, and of those, or
+    if no ``seq`` is named, an answer before a failure. A listing that
     fails on the way, or lacks a page before its end, has no rows: ask ``page_errors`` for the
     reason. Listings are read to their end unless the caller names ``max_pages``.
     """
