@@ -56,6 +56,8 @@ class Pair:
         # B never joins over a place that no piece reaches over
         apart = known and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         lines = not any("\n" in p for p in pieces if len(p) > 1)
+        # links are kept as pairs of the smallest numbers that hold all ids
+        self.link_type = np.uint16 if max(max(self.bytes_a, default=0), len(self.bytes_b)) < 1 << 16 else np.int32
         self.shield = len(self.b.encode("\n"))
         joined = {m for p in pieces for m in re.findall(f"(?<=[{LETTERS}])[{re.escape(string.punctuation)}]", p)}
         self.words = word_splitter(BYTE_LEVEL if apart else "", lines, "".join(sorted(set(string.punctuation) - joined)))
@@ -142,7 +144,7 @@ def align_words(words: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame,
             for (a, b, groups, links), n in zip(_pair(path_a, path_b).align(names), batch.column("n").to_pylist()):
                 text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
                 rows.append((len(a), len(b), len(groups), len(links), text))
-                linked.append(np.array(links, np.int32).tobytes())
+                linked.append(np.array(links, _pair(path_a, path_b).link_type).tobytes())
                 for link in links:
                     pairs[link] += n
             if rows:
@@ -159,7 +161,7 @@ def align_words(words: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame,
     return found.where("not is_pair").drop("is_pair", "a", "b", "n"), found.where("is_pair").select("part", "a", "b", "n")
 
 
-def count_links(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
+def count_links(aligned: DataFrame, pairs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """The words with n_best and count_sum: their links whose pair's corpus-wide count is its b's highest, and the counts' sum.
 
     A part's words ask for each of its pairs once.
@@ -174,7 +176,7 @@ def count_links(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
         keys = right.column("a").to_numpy().astype(np.int64) << 32 | right.column("b").to_numpy()
         order = np.argsort(keys)
         keys, count, best = (x[order] for x in (keys, right.column("count").to_numpy(), right.column("best").to_numpy().astype(np.int64)))
-        links = np.frombuffer(b"".join(left.column("links").to_pylist()), np.int32).reshape(-1, 2).astype(np.int64)
+        links = np.frombuffer(b"".join(left.column("links").to_pylist()), _pair(path_a, path_b).link_type).reshape(-1, 2).astype(np.int64)
         at = np.searchsorted(keys, links[:, 0] << 32 | links[:, 1])
         sizes = left.column("n_links").to_numpy()
         sums = [pa.array(np.add.reduceat(x[at], np.cumsum(sizes) - sizes)) for x in (best, count)]
@@ -201,7 +203,7 @@ def align_tokens(
     other columns, whatever their names, are ignored.
     """
     words, texts = code_texts(docs, lambda: _pair(path_a, path_b).split, id_col, text_col)
-    found = count_links(*align_words(words, path_a, path_b))
+    found = count_links(*align_words(words, path_a, path_b), path_a, path_b)
 
     def build(columns: dict[str, pa.Array], codes: list) -> dict[str, pa.Array]:
         table = np.stack([columns[name].to_numpy(zero_copy_only=False) for name in SUMS])
