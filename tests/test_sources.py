@@ -151,6 +151,14 @@ def test_pages_limit(spark):
     assert pages.union_pages(df, ["listing"], max_pages=10).count() == 10
 
 
+def test_an_answer_comes_before_a_failed_copy(spark):
+    good, bad = [(1, p, 0, "", [p], 2) for p in (1, 2)], (1, 1, 10113, "down", [], 0)
+    for rows in ([bad, *good], [*good, bad], [good[0], bad, good[1], bad]):
+        df = project_pages(spark, rows)
+        assert sorted(r.id for r in pages.union_pages(df, ["listing"]).collect()) == [1, 2]
+        assert pages.page_errors(df, ["listing"]).count() == 0
+
+
 def test_pages_landed_twice_or_missing(spark):
     twice = [(1, p, 0, "", [10 * p], 3) for p in (1, 2, 1, 2, 3)]
     gap = [(2, p, 0, "", [p], 3) for p in (1, 3)]
