@@ -57,7 +57,7 @@ def staged(spark):
         kept = spark.createDataFrame(result.collect(), result.schema)
         out.append((name, docs, kept))
         docs = kept
-    release(spark)
+    release(spark, corpus_pipeline._owner())
     return out
 
 
@@ -144,6 +144,7 @@ def test_many_live_secrets_in_one_text(spark):
     docs = spark.createDataFrame([(1, text, "s"), (2, "clean é", "s")], "doc_id long, text string, source string")
     began = time.time()
     got = {r.doc_id: r.text for r in redact_live(docs).collect()}
+    release(spark)
     words = got[1].split()
     assert got[2] == "clean é" and len(words) == 4_000 and time.time() - began < 30
     assert sum("REDACTED" in w for w in words) > 3_000 and all("REDACTED" in w or w in text for w in words)
