@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.words import Remembered, joinable, parts_of, piece_splitter, word_splitter
 
 #: Bytes that one recursive query takes (or one piece of more), and pieces and words a worker remembers.
-QUERY_BYTES, KNOWN = 200_000, 150_000
+QUERY_BYTES, KNOWN = 200_000, 250_000
 
 # g is a token's sequence and, in the lower 40 bits, its place in bytes
 _CONTRACT = """
