@@ -1,6 +1,7 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote on every document: some for junk, some for toxic, each may abstain. Expectation-
+Overlapping heuristic labellers vote on every document: some for junk, some for toxic, each may abstain. Where a text has no
+word at all, only the labeller of empty texts has seen anything; the silence of the others is no evidence. Expectation-
 maximisation over the counted vote patterns of all documents learns how often each labeller fires in each class (its
 accuracy) and how common the classes are. The posteriors label a bounded sample on which a hashed linear scorer is
 trained; the scorer judges every document. Cue words of the toxic labellers are mined from a bounded sample of labelled
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import SPACE_CLASS, text_of
 
 CLASSES = ("clean", "junk", "toxic")
-LABELLERS = ("short", "symbols", "capitals", "stutter", "variety", "lines", "lengths", "cue_words", "cue_starts")
+LABELLERS = ("empty", "symbols", "capitals", "stutter", "variety", "lines", "lengths", "cue_words", "cue_starts")
 _FOR = np.array([1, 1, 1, 1, 1, 1, 1, 2, 2])
 #: Most labelled rows of each kind that cues are mined from, and most documents the scorer is trained on.
 LABELLED_SAMPLE, TRAINING_SAMPLE = 4_000, 6_000
@@ -33,21 +34,34 @@ CUE_SURPRISE = 14.0
 #: A labeller fires on clean documents this often at most; without a bound two classes may swap their meaning.
 MOST_FALSE = 0.01
 STARTS = (4, 5, 6, 7)
+#: Below so many words only cues and symbols are looked at.
+FEW = 5
 _SYMBOLS = re.compile(r"[^\w\s]{2,}|(?<=\s)[|~^<>=*#](?=\s)")
 _EDGES = r"^\p{Punct}+|\p{Punct}+$"
 _TRIM = ".,;:!?\"'()[]"
 
 
+def _cued(distinct: set[str], words: frozenset[str], starts: frozenset[str]) -> int:
+    """The votes of the two labellers that look for cues."""
+    bare = {t.lower().strip(_TRIM) for t in distinct}
+    fired = 0 if words.isdisjoint(bare) else 128
+    if starts and not starts.isdisjoint({b[:k] for b in bare for k in STARTS if len(b) >= k}):
+        fired |= 256
+    return fired
+
+
 def votes_of(text: str | None, words: frozenset[str], starts: frozenset[str]) -> int:
     """The labellers that fire, as bits in the order of ``LABELLERS``."""
     tokens = text.split() if text else []
     n = len(tokens)
-    if n < 5:
+    if not n:
         return 1
     distinct = set(tokens)
-    fired = 0
-    if len(_SYMBOLS.findall(text)) > 0.1 * n:
+    fired = _cued(distinct, words, starts)
+    if len(_SYMBOLS.findall(text)) > max(1 if n < FEW else 0, 0.1 * n):
         fired |= 2
+    if n < FEW:  # too little for shares of words and lines
+        return fired
     if sum(map(str.isupper, tokens)) > 0.2 * n:
         fired |= 4
     if sum(map(str.__eq__, tokens, tokens[1:])) > max(2, 0.08 * n):
@@ -59,11 +73,6 @@ def votes_of(text: str | None, words: frozenset[str], starts: frozenset[str]) ->
         fired |= 32
     if not 2 <= len(text) / n - 1 <= 25:
         fired |= 64
-    bare = {t.lower().strip(_TRIM) for t in distinct}
-    if not words.isdisjoint(bare):
-        fired |= 128
-    if starts and not starts.isdisjoint({b[:k] for b in bare for k in STARTS if len(b) >= k}):
-        fired |= 256
     return fired
 
 
@@ -73,6 +82,7 @@ def learn_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100
     Labellers start as rather right; one token of prior on each chance keeps rare ones defined.
     """
     fired = (patterns[:, None] >> np.arange(len(LABELLERS))) & 1
+    seen = _seen(fired)
     share = np.array([0.8, 0.12, 0.08])
     chance = np.full((3, len(LABELLERS)), 0.02)
     for k, kind in enumerate(_FOR):
@@ -81,15 +91,23 @@ def learn_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100
         weight = posteriors(fired, share, chance) * counts[:, None]
         total = weight.sum(axis=0)
         share = (total + 1) / (total.sum() + 3)
-        chance = (weight.T @ fired + 0.02) / (total[:, None] + 1)
+        chance = (weight.T @ fired + 0.02) / (weight.T @ seen + 1)
         chance[0] = np.minimum(chance[0], MOST_FALSE)
     return share, chance
 
 
+def _seen(fired: np.ndarray) -> np.ndarray:
+    """Which labellers had anything to look at: of an empty text, which draws the first vote alone, only that one."""
+    seen = np.ones_like(fired)
+    seen[(fired[:, 0] == 1) & (fired.sum(axis=1) == 1), 1:] = 0
+    return seen
+
+
 def posteriors(fired: np.ndarray, share: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """Chance of each class, given which labellers fired."""
     chance = np.clip(chance, 1e-6, 1 - 1e-6)
-    logs = np.log(share) + fired @ np.log(chance).T + (1 - fired) @ np.log1p(-chance).T
+    seen = _seen(fired)
+    logs = np.log(share) + (fired * seen) @ np.log(chance).T + ((1 - fired) * seen) @ np.log1p(-chance).T
     likely = np.exp(logs - logs.max(axis=1, keepdims=True))
     return likely / likely.sum(axis=1, keepdims=True)
 
@@ -223,8 +241,9 @@ def judged(model: Model, text: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, votes, clean, junk, toxic, keep.
 
-    Null, empty and very short texts draw the vote "short", which speaks for junk. Ties keep the document. Repeated rows
-    stay and weigh each time; other columns are ignored; an empty table gives an empty table.
+    Null texts and texts without a word draw the vote "empty", which speaks for junk, and are not kept. A few words are no
+    fault: of texts below ``FEW`` words only cues and symbols are looked at. Long texts are read whole. Ties keep the document.
+    Repeated rows stay and weigh each time; other columns are ignored; an empty table gives an empty table.
     """
     model = fit(docs, labels)
     return docs.select("doc_id", judged(model, F.col("text")).alias("j")).select("doc_id", "j.*")

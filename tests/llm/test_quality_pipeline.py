@@ -15,8 +15,9 @@ def test_accuracies_are_recovered():
     rng = np.random.default_rng(4)
     kind = rng.choice(3, 40_000, p=[0.75, 0.15, 0.1])
     true = np.full((3, len(LABELLERS)), 0.01)
-    true[1, :7], true[2, 7:] = 0.6, 0.8
+    true[1, :7], true[2, 7:], true[[0, 2], 0] = 0.6, 0.8, 0.001
     fired = rng.random((len(kind), len(LABELLERS))) < true[kind]
+    fired[fired[:, 0], 1:] = False  # of an empty text the other labellers see nothing
     patterns, counts = np.unique(fired @ (1 << np.arange(len(LABELLERS))), return_counts=True)
     share, chance = learn_accuracies(patterns, counts.astype(float))
     assert np.allclose(share, [0.75, 0.15, 0.1], atol=0.03) and np.allclose(chance, true, atol=0.06)
@@ -48,6 +49,19 @@ def test_quality_edges(made, none, spark):
     assert kept.columns == docs.columns and classify(none).count() == 0 and keep_good(none).count() == 0
 
 
+def test_texts_without_words_go_and_short_ones_do_not(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    odd = [(-1, None), (-2, ""), (-3, " \n\t "), (-4, "Re."), (-5, "That it was."), (-6, "x" * 2_000_000)]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    kept = {r.doc_id: r.keep for r in classify(more, labels).where("doc_id < 0").collect()}
+    assert len(kept) == 6 and [kept[i] for i in (-1, -2, -3, -4, -5)] == [False, False, False, True, True]
+
+
+def test_silence_about_an_empty_text_is_no_evidence():
+    share, chance = learn_accuracies(np.array([0, 1, 2, 256]), np.array([900.0, 3, 60, 37]))
+    assert posteriors(np.eye(1, len(LABELLERS), dtype=int), share, chance).argmax() == 1
+
+
 @pytest.fixture(scope="module")
 def staged(spark):
     """Input and output rows of each stage."""
