@@ -10,6 +10,7 @@ from fleetlens.llm.byte_bpe import round_trip
 from fleetlens.llm.decontamination import find_contamination
 from fleetlens.llm.language_model import score_texts
 from fleetlens.llm.merkle import fold, manifest, proof_text
+from fleetlens.llm.oracles import ORACLES
 from fleetlens.llm.order_minhash import compare_edits, printed
 from fleetlens.llm.pii import scan_personal_data
 from fleetlens.llm.quality import classify
@@ -19,6 +20,8 @@ from fleetlens.llm.simhash import near_groups
 from fleetlens.llm.substrings import remove_repeats
 from fleetlens.llm.token_counts import count_tokens
 
+__all__ = ["ORACLES", "QUERIES"]
+
 SHARDS = 24
 
 
@@ -141,5 +144,3 @@ QUERIES = {
     "op12_alignment": op12_alignment,
     "op13_manifest": op13_manifest,
 }
-
-ORACLES: dict[str, str] = {}
