@@ -7,10 +7,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from fleetlens import fixed
-
-
-def _names(cfg: Mapping[str, Any], key: str) -> tuple[str, ...]:
-    return tuple(n for n in (str(x).strip() for x in cfg.get(key, [])) if n)
+from fleetlens.settings import read_settings
 
 
 @dataclass(frozen=True)
@@ -28,16 +25,8 @@ class Policy:
 
     @classmethod
     def from_config(cls, cfg: Mapping[str, Any]) -> Policy:
-        return cls(
-            allowed_sources=_names(cfg, "allowedDbs"),
-            allowed_tables=_names(cfg, "allowedTables"),
-            writable_tables=_names(cfg, "writableTables"),
-            procedures=_names(cfg, "executableProcedures"),
-            default_limit=int(cfg.get("defaultLimit", fixed.DEFAULT_ROW_LIMIT)),
-            max_limit=int(cfg.get("maxLimit", fixed.MAX_ROW_LIMIT)),
-            max_sql_chars=int(cfg.get("maxSqlLen", fixed.MAX_SQL_CHARS)),
-            query_timeout=int(cfg.get("queryTimeout", fixed.QUERY_TIMEOUT_SECONDS)),
-        )
+        """From a configuration; the fields stand in the order of the declared settings."""
+        return cls(*read_settings(cfg, fixed.POLICY_SETTINGS).values())
 
     def table_allowed(self, name: str) -> bool:
         return not self.allowed_tables or name in self.allowed_tables or name.split(".", 1)[-1] in self.allowed_tables

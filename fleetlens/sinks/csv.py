@@ -64,9 +64,3 @@ def export_result(df: DataFrame | None, path: str, most: int = fixed.MAX_ROW_LIM
         raise ValueError(f"more than {most} rows: use export_csv")
     texts = [(BOM + header_line(df.columns),), *[(r["value"],) for r in rows]]
     df.sparkSession.createDataFrame(texts, "value string").coalesce(1).write.text(path)
-
-
-def file_name(source: str, index: int, results: int, at_ms: int) -> str:
-    """Name of an exported file; numbered when there are several results."""
-    suffix = f"_{index + 1}" if results > 1 else ""
-    return f"{source or 'query'}{suffix}_{at_ms}.csv"

@@ -136,8 +136,17 @@ def test_rewrite(spark):
     assert rewritten("mysql") == ["select 1 LIMIT 10", "select 1 limit 3"]
     assert rewritten("fetch")[0] == "select 1 FETCH FIRST 10 ROWS ONLY"
     assert rewritten("rownum")[0] == "SELECT * FROM (select 1) WHERE ROWNUM <= 10"
-    modes = [checks.row_mode(*a) for a in [("oracle", "fetch"), ("mysql",), ("oracle", "", 11), ("oracle", "", 12), ("oracle",)]]
-    assert modes == ["fetch", "mysql", "rownum", "fetch", "rownum"]
+    sources = [("oracle", "fetch", None), ("mysql", "", None), ("oracle", "", 11), ("oracle", None, 12), ("oracle", "", None)]
+    mode = checks.cap_spelling(F.col("engine"), F.col("configured"), F.col("major"))
+    rows = spark.createDataFrame(sources, "engine string, configured string, major int").coalesce(1)
+    got = rows.select(mode.alias("mode"), checks.with_row_cap(F.lit("select 1"), mode, 10).alias("text")).collect()
+    assert [r.mode for r in got] == ["fetch", "mysql", "rownum", "fetch", "rownum"]
+    assert [r.text for r in got] == [rewritten(r.mode)[0] for r in got]
+
+
+@pytest.mark.parametrize("text, cap", [("x limit 7", 7), ("fetch  first 8 rows", 8), ("ROWNUM<9", 9), ("rownum <= 5 limit 6", 5), ("limit 99999999999999999999", checks.UNLIMITED), ("limits 4", None)])
+def test_stated_caps(spark, text, cap):
+    assert each(spark, [text], checks.stated_cap) == [cap]
 
 
 SPLITS = [

@@ -49,10 +49,6 @@ def test_exports_refuse_repeated_names(spark, folder):
         csv.export_result(None, f"{folder}/x")
 
 
-def test_file_names():
-    assert csv.file_name("db", 0, 1, 9) == "db_9.csv" and csv.file_name("", 1, 2, 9) == "query_2_9.csv"
-
-
 def test_append(spark, folder):
     policy = Policy(writable_tables=("a.t", "b.*"))
     df = spark.range(10)

@@ -215,7 +215,15 @@ def test_registry(spark):
         registry.get("nope")
 
 
-@pytest.mark.parametrize("bad", [{"name": "x", "type": "db2"}, {"name": "x", "rowLimit": "top"}])
+def test_settings_that_are_left_out():
+    cfg = {"datasources": [{"name": 7, "label": "  ", "schema": "s", "type": " Oracle ", "unknown": 1}], "allowedDbs": [" a ", ""], "queryTimeout": "9"}
+    registry = Registry.from_config(cfg)
+    source = registry.get("7")
+    assert (source.label, source.service, source.port, source.host, source.read_only) == ("7", "s", 1521, "127.0.0.1", True)
+    assert (registry.allowed, registry.query_timeout, registry.connect_timeout) == (("a",), 9, 5)
+
+
+@pytest.mark.parametrize("bad", [{"name": "x", "type": "db2"}, {"name": "x", "rowLimit": "top"}, {}, {"name": "x", "port": "high"}])
 def test_registry_refuses(bad):
     with pytest.raises(ValueError):
         Registry.from_config({"datasources": [bad]})
