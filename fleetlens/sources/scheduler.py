@@ -1,16 +1,14 @@
 """Unrolling scheduler snapshots into one row per queue.
 
 A snapshot is one JSON document holding a tree of any depth. The tree is walked inside
-its own row, level by level, so unrolling needs no shuffle, no self-join and no state:
-every snapshot is independent and an executor lost on the way costs only its own tasks.
+its own row by one fold over its levels, so unrolling needs one pass over the data, no shuffle,
+no self-join and no state: every snapshot is independent and an executor lost on the way costs only its own tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-FIRST_DEPTH = 6
-
 NODE_LIST = "array<variant>"
 NODES = "array<struct<node: variant, parent: string, depth: int, path: string, name: string>>"
 
@@ -27,14 +25,14 @@ def _children(node: Column) -> Column:
     )
 
 
-def _next_level(level: Column, depth: int) -> Column:
+def _next_level(level: Column) -> Column:
     def below(item: Column) -> Column:
         return F.transform(
             _children(item["node"]),
             lambda child: F.struct(
                 child.alias("node"),
                 item["name"].alias("parent"),
-                F.lit(depth).alias("depth"),
+                (item["depth"] + 1).alias("depth"),
                 F.concat(item["path"], F.lit("."), F.coalesce(_text(child, "$.queueName"), F.lit(""))).alias("path"),
                 F.coalesce(_text(child, "$.queueName"), F.lit("")).alias("name"),
             ),
@@ -43,10 +41,31 @@ def _next_level(level: Column, depth: int) -> Column:
     return F.flatten(F.transform(level, below))
 
 
+def _walked(roots: Column, levels: Column, fault: Column) -> Column:
+    """The nodes of all levels, by a fold that holds the level it stands on and the nodes above it.
+
+    ``levels`` bounds the steps; once a level is empty the rest of them do nothing. What lies deeper is an error.
+    """
+
+    def step(acc: Column, _: Column) -> Column:
+        deeper = F.struct(_next_level(acc["level"]).alias("level"), F.concat(acc["nodes"], acc["level"]).alias("nodes"))
+        return F.when(F.size(acc["level"]) == 0, acc).otherwise(deeper)
+
+    start = F.struct(roots.alias("level"), F.array().cast(NODES).alias("nodes"))
+    return F.aggregate(
+        F.sequence(F.lit(1), levels), start, step,
+        lambda acc: F.when(F.size(acc["level"]) > 0, F.raise_error(fault)).otherwise(acc["nodes"]),
+    )
+
+
 def _rooted(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The root queue and the kind of scheduler of every snapshot."""
+    """The root queue, the kind of scheduler and a bound on the levels of every snapshot.
+
+    Each level below the root stands in a list of its own, so a tree has no more of them than its text has brackets.
+    """
     doc = F.try_variant_get(F.try_parse_json(text), "$.scheduler.schedulerInfo", "variant")
-    rows = df.select(*keep, doc.alias("info"))
+    brackets = F.length(text) - F.length(F.replace(F.col(text), F.lit("["), F.lit("")))
+    rows = df.select(*keep, doc.alias("info"), (brackets + 1).alias("levels"))
     kind = F.lower(F.coalesce(_text(F.col("info"), "$.type"), F.lit("")))
     fair_root = F.try_variant_get("info", "$.rootQueue", "variant")
     is_fair = F.contains(kind, F.lit("fair"))
@@ -54,47 +73,12 @@ def _rooted(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     scheduler = F.when(is_fair, "fair").when(F.contains(kind, F.lit("capacity")), "capacity").otherwise("unknown")
     return rows.select(
         *keep,
+        "levels",
         scheduler.alias("scheduler"),
         F.when(is_fair & has_fair_root, fair_root).otherwise(F.col("info")).alias("root"),
     )
 
 
-def _levels(rooted: DataFrame, keep: list[str], depth: int, named_root: bool) -> tuple[DataFrame, list[str]]:
-    """``depth`` levels as array columns, the last one being what lies deeper still."""
-    name = _text(F.col("root"), "$.queueName")
-    top = F.struct(
-        F.col("root").alias("node"),
-        F.lit(None).cast("string").alias("parent"),
-        F.lit(0).alias("depth"),
-        name.alias("path"),
-        name.alias("name"),
-    )
-    # an empty list instead of a filter: Spark would push a filter below the parsing and parse twice
-    shown = F.coalesce(name, F.lit("")) != "" if named_root else F.col("root").isNotNull()
-    roots = F.when(shown, F.array(top)).otherwise(F.array().cast(NODES))
-    df = rooted.select(*keep, "scheduler", roots.alias("l0"))
-    names = ["l0"]
-    for level in range(1, depth + 1):
-        df = df.withColumn(f"l{level}", _next_level(F.col(f"l{level - 1}"), level))
-        names.append(f"l{level}")
-    return df, names
-
-
-def tree_depth(df: DataFrame, text: str = "value") -> int:
-    """The number of levels of the deepest tree; one look at the data for usual trees."""
-    looked = FIRST_DEPTH
-    while True:
-        levels = _rooted(df, text, []).select(F.array("root").alias("l0"))
-        filled = F.lit(1)
-        for level in range(1, looked + 1):
-            levels = levels.withColumn(f"l{level}", F.flatten(F.transform(f"l{level - 1}", _children)))
-            filled = filled + (F.size(f"l{level}") > 0).cast("int")
-        deepest = levels.agg(F.max(filled)).first()[0] or 1
-        if deepest <= looked:
-            return deepest
-        looked *= 2
-
-
 def unroll_queues(
     df: DataFrame,
     text: str = "value",
@@ -104,19 +88,25 @@ def unroll_queues(
 ) -> DataFrame:
     """One row per queue with its parent, depth and path, beside the raw ``node``.
 
-    ``depth`` is the number of levels to unroll. Left out, it is found from the data; given,
-    a deeper tree is an error, never a shorter answer. A tree whose root has no name is left
-    out unless ``named_root`` is off.
+    Trees may have any depth, each its own; a document is parsed once. Given ``depth``, a tree of more levels is an error,
+    never a shorter answer. A tree whose root has no name is left out unless ``named_root`` is off.
     """
     keep = keep or []
-    if depth is None:
-        depth = tree_depth(df, text)
-    levels, names = _levels(_rooted(df, text, keep), keep, depth, named_root)
-    deeper = F.size(names[-1]) > 0
-    all_nodes = F.when(deeper, F.raise_error(F.lit(f"a queue tree is deeper than {depth} levels"))).otherwise(
-        F.concat(*names[:-1])
+    name = _text(F.col("root"), "$.queueName")
+    top = F.struct(
+        F.col("root").alias("node"),
+        F.lit(None).cast("string").alias("parent"),
+        F.lit(0).alias("depth"),
+        name.alias("path"),
+        name.alias("name"),
     )
-    rows = levels.select(*keep, "scheduler", F.inline(all_nodes))
+    # an empty list instead of a filter: Spark would push a filter below the parsing and parse twice
+    shown = F.coalesce(name, F.lit("")) != "" if named_root else F.col("root").isNotNull()
+    roots = F.when(shown, F.array(top)).otherwise(F.array().cast(NODES))
+    levels = F.col("levels") if depth is None else F.lit(depth)
+    fault = F.concat(F.lit("a queue tree is deeper than "), levels.cast("string"), F.lit(" levels"))
+    nodes = _walked(roots, levels, fault)
+    rows = _rooted(df, text, keep).select(*keep, "scheduler", F.inline(nodes))
     return rows.withColumnRenamed("name", "queueName")
 
 
