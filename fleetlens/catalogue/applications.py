@@ -27,9 +27,8 @@ AS_OF_MS = 1706745600000
 
 
 def apps_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    return apps_from_text(Views(spark, folder).app_documents).select(
-        "id", "name", "state", "user", "queue", "applicationType", "startedTime", "finishedTime", "allocatedMB"
-    )
+    fields = ["id", "name", "state", "user", "queue", "applicationType", "startedTime", "finishedTime", "allocatedMB"]
+    return apps_from_text(Views(spark, folder).app_documents, fields=fields)
 
 
 def apps_filtered(spark: SparkSession, folder: str) -> DataFrame:

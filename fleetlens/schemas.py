@@ -1,5 +1,9 @@
 """Record schemas of the landed snapshots, as Spark type strings."""
 
+from __future__ import annotations
+
+from collections.abc import Sequence
+
 
 def _struct(fields: str) -> str:
     """Fields as written in SQL, ``name type, ...``, as a struct type."""
@@ -7,6 +11,17 @@ def _struct(fields: str) -> str:
     return "struct<" + ", ".join(f"{name}: {kind.strip()}" for name, kind in pairs) + ">"
 
 
+def narrowed(struct: str, fields: Sequence[str] | None) -> str:
+    """The struct type with the named fields only, in the given order; all of them for None."""
+    if fields is None:
+        return struct
+    parts = (part.split(": ", 1) for part in struct.removeprefix("struct<").removesuffix(">").split(", "))
+    kinds = {name.strip("`"): f"{name}: {kind}" for name, kind in parts}
+    if unknown := [name for name in fields if name not in kinds]:
+        raise ValueError(f"fields {unknown} are not in the record")
+    return f"struct<{', '.join(kinds[name] for name in fields)}>"
+
+
 def _bigints(names: list[str]) -> str:
     return ", ".join(f"{name} bigint" for name in names)
 
@@ -22,7 +37,12 @@ APPLICATION = _struct(
     unmanagedApplication boolean, appNodeLabelExpression string, amNodeLabelExpression string,
     trackingUrl string, trackingUI string, amContainerLogs string"""
 )
-APPLICATION_ENVELOPE = f"apps struct<app: array<{APPLICATION}>>"
+
+
+def application_envelope(fields: Sequence[str] | None = None) -> str:
+    return f"apps struct<app: array<{narrowed(APPLICATION, fields)}>>"
+
+
 
 METRIC_NAMES = [
     "appsSubmitted", "appsCompleted", "appsPending", "appsRunning", "appsFailed", "appsKilled",
@@ -32,14 +52,24 @@ METRIC_NAMES = [
     "totalNodes", "activeNodes", "lostNodes", "unhealthyNodes", "decommissioningNodes",
     "decommissionedNodes", "rebootedNodes", "shuffledNodes", "totalNodeLabels",
 ]
-METRICS_ENVELOPE = f"clusterMetrics {_struct(_bigints(METRIC_NAMES))}"
+
+
+def metrics_envelope(fields: Sequence[str] | None = None) -> str:
+    return f"clusterMetrics {narrowed(_struct(_bigints(METRIC_NAMES)), fields)}"
+
+
 
 FILE_STATUS = _struct(
     """pathSuffix string, type string, length bigint, permission string, owner string, `group` string,
     modificationTime bigint, accessTime bigint, blockSize bigint, replication int, childrenNum int,
     fileId bigint, storagePolicy int"""
 )
-LISTING_ENVELOPE = f"dir string, FileStatuses struct<FileStatus: array<{FILE_STATUS}>>"
+
+
+def listing_envelope(fields: Sequence[str] | None = None) -> str:
+    return f"dir string, FileStatuses struct<FileStatus: array<{narrowed(FILE_STATUS, fields)}>>"
+
+
 
 STORAGE_NUMBERS = [
     "CapacityTotal", "CapacityUsed", "CapacityRemaining", "CapacityUsedNonDFS",

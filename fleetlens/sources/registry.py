@@ -95,11 +95,17 @@ class Registry:
         return spark.createDataFrame(rows, LISTING)
 
     def open(
-        self, spark: SparkSession, name: str, table: str, partitioning: Partitioning | None = None
+        self, spark: SparkSession, name: str, table: str, partitioning: Partitioning | None = None, ranges: list[str] | None = None
     ) -> DataFrame:
-        """A table of a source, lazily; filters and columns are pushed into the scan."""
+        """A table of a source, lazily; filters and columns are pushed into the scan.
+
+        ``ranges`` are conditions that share out a remote table, one task each, in place of equal strides.
+        """
         source = self.get(name)
         if source.type == "parquet":
             return spark.read.parquet(f"{source.path.rstrip('/')}/{table}.parquet")
         options = jdbc_options(source, table, self.query_timeout, self.connect_timeout, partitioning)
+        if ranges:
+            url, remote = options.pop("url"), options.pop("dbtable")
+            return spark.read.jdbc(url, remote, predicates=ranges, properties=options)
         return spark.read.format("jdbc").options(**options).load()

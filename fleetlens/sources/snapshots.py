@@ -3,11 +3,14 @@
 Each reader has two faces: one over files of JSON lines and one over a column of JSON
 text (landed through a queue or a table). Both only project and explode, so a snapshot
 never leaves the task that read it, and unused fields are not parsed. The file face also
-reads a stream of landing files, and with ``stamped`` keeps when each file landed.
+reads a stream of landing files, and with ``stamped`` keeps when each file landed. Applications,
+metrics and listings take the ``fields`` asked for; the schema they are parsed by holds no others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlens import schemas
@@ -29,46 +32,59 @@ def _apps(df: DataFrame, envelope: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.inline(f"{envelope}.app"))
 
 
-def read_apps(spark: SparkSession, path: str, stream: bool = False, stamped: bool = False) -> DataFrame:
+def read_apps(
+    spark: SparkSession, path: str, stream: bool = False, stamped: bool = False, fields: Sequence[str] | None = None
+) -> DataFrame:
     """One row per application of every envelope; an envelope without applications adds none."""
-    docs, keep = _landed(spark, path, schemas.APPLICATION_ENVELOPE, stream, stamped)
+    docs, keep = _landed(spark, path, schemas.application_envelope(fields), stream, stamped)
     return _apps(docs, "apps", keep)
 
 
-def apps_from_text(df: DataFrame, text: str = "value", keep: list[str] | None = None) -> DataFrame:
+def apps_from_text(
+    df: DataFrame, text: str = "value", keep: list[str] | None = None, fields: Sequence[str] | None = None
+) -> DataFrame:
     keep = keep or []
-    return _apps(_parsed(df, text, schemas.APPLICATION_ENVELOPE, keep), "doc.apps", keep)
+    return _apps(_parsed(df, text, schemas.application_envelope(fields), keep), "doc.apps", keep)
 
 
-def _metrics(df: DataFrame, envelope: str, keep: list[str]) -> DataFrame:
-    zeros = [F.coalesce(F.col(f"{envelope}.{name}"), F.lit(0)).cast("long").alias(name) for name in schemas.METRIC_NAMES]
+def _metrics(df: DataFrame, envelope: str, keep: list[str], fields: Sequence[str] | None) -> DataFrame:
+    names = schemas.METRIC_NAMES if fields is None else fields
+    zeros = [F.coalesce(F.col(f"{envelope}.{name}"), F.lit(0)).cast("long").alias(name) for name in names]
     return df.select(*keep, *zeros)
 
 
-def read_metrics(spark: SparkSession, path: str, stream: bool = False, stamped: bool = False) -> DataFrame:
+def read_metrics(
+    spark: SparkSession, path: str, stream: bool = False, stamped: bool = False, fields: Sequence[str] | None = None
+) -> DataFrame:
     """One row of cluster metrics per snapshot; what is missing is 0."""
-    docs, keep = _landed(spark, path, schemas.METRICS_ENVELOPE, stream, stamped)
-    return _metrics(docs, "clusterMetrics", keep)
+    docs, keep = _landed(spark, path, schemas.metrics_envelope(fields), stream, stamped)
+    return _metrics(docs, "clusterMetrics", keep, fields)
 
 
-def metrics_from_text(df: DataFrame, text: str = "value", keep: list[str] | None = None) -> DataFrame:
+def metrics_from_text(
+    df: DataFrame, text: str = "value", keep: list[str] | None = None, fields: Sequence[str] | None = None
+) -> DataFrame:
     keep = keep or []
-    return _metrics(_parsed(df, text, schemas.METRICS_ENVELOPE, keep), "doc.clusterMetrics", keep)
+    return _metrics(_parsed(df, text, schemas.metrics_envelope(fields), keep), "doc.clusterMetrics", keep, fields)
 
 
 def _listing(df: DataFrame, folder: str, envelope: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.col(folder).alias("dir"), F.inline(f"{envelope}.FileStatus"))
 
 
-def read_listing(spark: SparkSession, path: str, stream: bool = False, stamped: bool = False) -> DataFrame:
+def read_listing(
+    spark: SparkSession, path: str, stream: bool = False, stamped: bool = False, fields: Sequence[str] | None = None
+) -> DataFrame:
     """One row per entry of every listed folder; an absent listing adds none."""
-    docs, keep = _landed(spark, path, schemas.LISTING_ENVELOPE, stream, stamped)
+    docs, keep = _landed(spark, path, schemas.listing_envelope(fields), stream, stamped)
     return _listing(docs, "dir", "FileStatuses", keep)
 
 
-def listing_from_text(df: DataFrame, text: str = "value", keep: list[str] | None = None) -> DataFrame:
+def listing_from_text(
+    df: DataFrame, text: str = "value", keep: list[str] | None = None, fields: Sequence[str] | None = None
+) -> DataFrame:
     keep = keep or []
-    return _listing(_parsed(df, text, schemas.LISTING_ENVELOPE, keep), "doc.dir", "doc.FileStatuses", keep)
+    return _listing(_parsed(df, text, schemas.listing_envelope(fields), keep), "doc.dir", "doc.FileStatuses", keep)
 
 
 def _bean(beans: str, suffix: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators.running import running_total
 from fleetlens.sources import logs, pages, scheduler, snapshots
-from fleetlens.sources.jdbc import Partitioning, jdbc_options
+from fleetlens.sources.jdbc import Partitioning, jdbc_options, jdbc_ranges, key_bounds
 from fleetlens.sources.registry import Registry, UnknownSource
 
 
@@ -32,6 +32,21 @@ def test_apps(spark, folder):
     assert len(df.columns) == 35
 
 
+def test_narrow_readers(spark, folder):
+    apps = land(folder, "apps", [{"apps": {"app": [{"id": "a1", "user": "u", "queue": "q", "diagnostics": "long"}]}}])
+    narrow = snapshots.read_apps(spark, apps, fields=["user", "id"])
+    assert narrow.columns == ["user", "id"] and [tuple(r) for r in narrow.collect()] == [("u", "a1")]
+    text = snapshots.apps_from_text(spark.read.text(apps), fields=["id", "allocatedMB"])
+    plan = text._jdf.queryExecution().executedPlan().toString()
+    assert "diagnostics" not in plan and [tuple(r) for r in text.collect()] == [("a1", None)]
+    metrics = land(folder, "m", [{"clusterMetrics": {"totalMB": 5, "lostNodes": 1}}, {}])
+    assert sorted(tuple(r) for r in snapshots.read_metrics(spark, metrics, fields=["lostNodes"]).collect()) == [(0,), (1,)]
+    listing = land(folder, "l", [{"dir": "/a", "FileStatuses": {"FileStatus": [{"pathSuffix": "x", "group": "g"}]}}])
+    assert [tuple(r) for r in snapshots.read_listing(spark, listing, fields=["group"]).collect()] == [("/a", "g")]
+    with pytest.raises(ValueError, match="nope"):
+        snapshots.read_apps(spark, apps, fields=["nope"])
+
+
 def test_metrics(spark, folder):
     path = land(folder, "m", [{"clusterMetrics": {"totalMB": 5}}, {}])
     rows = snapshots.read_metrics(spark, path).orderBy("totalMB").collect()
@@ -110,12 +125,19 @@ def test_scheduler_broken_and_missing_documents(spark, folder):
     assert scheduler.read_scheduler(spark, path).collect() == []
 
 
-@pytest.mark.parametrize("levels", [1, 6, 7, 30])
+@pytest.mark.parametrize("levels", [1, 6, 7, 30, 200])
 def test_scheduler_of_any_depth(spark, folder, levels):
     rows = queue_rows(spark, folder, [chain(levels), chain(2)]).collect()
     assert len(rows) == levels + 2 and max(r.depth for r in rows) == max(levels, 2) - 1
 
 
+def test_scheduler_parses_once(spark, folder):
+    rows = queue_rows(spark, folder, [chain(9), {"type": "capacity", "queueName": "root", "queues": {"queue": "[[["}}, None])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson(") == 1 and "Exchange" not in plan
+    assert sorted(r.depth for r in rows.collect()) == [0, *range(9)]
+
+
 def test_scheduler_refuses_to_cut_a_tree(spark, folder):
     with pytest.raises(Exception, match="deeper than 3"):
         queue_rows(spark, folder, [chain(4)], depth=3).collect()
@@ -231,6 +253,20 @@ def test_registry_refuses(bad):
         Registry.from_config({})
 
 
+def test_jdbc_ranges():
+    assert jdbc_ranges("id", []) == ["1 = 1"]
+    assert jdbc_ranges("id", [7, 3, 7]) == ["id < 3 OR id IS NULL", "id >= 3 AND id < 7", "id >= 7"]
+    assert jdbc_ranges("d", ["2024-01-01", "o'k"])[1:] == ["d >= '2024-01-01' AND d < 'o''k'", "d >= 'o''k'"]
+
+
+def test_jdbc_ranges_of_skewed_keys(spark):
+    keys = spark.range(10_000).selectExpr("CASE WHEN id < 100 THEN NULL WHEN id % 3 = 0 THEN 5 ELSE id * id END AS id")
+    bounds = key_bounds(keys, "id", 8)
+    ranges = jdbc_ranges("id", bounds)
+    sizes = [keys.where(r).count() for r in ranges]
+    assert sum(sizes) == 10_000 and 4 <= len(ranges) <= 8 and sorted(sizes)[-2] < 2_000
+
+
 def test_jdbc_options():
     registry = Registry.from_config(CONFIG)
     mysql = jdbc_options(registry.get("b"), "t", 60, 5, Partitioning("id", "0", "1000", 16))
