@@ -10,6 +10,7 @@ rows. All bounds are parameters.
 
 from __future__ import annotations
 
+import operator
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,35 +37,47 @@ MOST_FALSE = 0.01
 STARTS = (4, 5, 6, 7)
 #: Below so many words only cues and symbols are looked at.
 FEW = 5
-_SYMBOLS = re.compile(r"[^\w\s]{2,}|(?<=\s)[|~^<>=*#](?=\s)")
+#: Runs of symbols, and symbols that stand alone; either pattern begins with a plain class, which is searched for fastest.
+_RUNS, _LONE = re.compile(r"[^\w\s][^\w\s]+"), re.compile(r"[|~^<>=*#](?<=\s.)(?=\s)")
 _EDGES = r"^\p{Punct}+|\p{Punct}+$"
 _TRIM = ".,;:!?\"'()[]"
 
 
-def _cued(distinct: set[str], words: frozenset[str], starts: frozenset[str]) -> int:
-    """The votes of the two labellers that look for cues."""
-    bare = {t.lower().strip(_TRIM) for t in distinct}
-    fired = 0 if words.isdisjoint(bare) else 128
-    if starts and not starts.isdisjoint({b[:k] for b in bare for k in STARTS if len(b) >= k}):
-        fired |= 256
-    return fired
+class Cues:
+    """The two labellers that look for cues: words, and starts of words."""
+
+    def __init__(self, words: frozenset[str], starts: frozenset[str]) -> None:
+        self.words, self.starts = words, starts
+        behind = rf"(?<![^\s{re.escape(_TRIM)}])"  # where a word may begin once its marks are off
+        self.near = [(cue, re.compile(behind + re.escape(cue)).search) for cue in sorted(words | starts)]
+
+    def votes(self, text: str) -> int:
+        """The words are gone through only where some cue stands behind white space or marks."""
+        lowered = text.lower()
+        if not any(cue in lowered and search(lowered) for cue, search in self.near):
+            return 0
+        bare = {t.strip(_TRIM) for t in lowered.split()}
+        fired = 0 if self.words.isdisjoint(bare) else 128
+        if self.starts and not self.starts.isdisjoint({b[:k] for b in bare for k in STARTS if len(b) >= k}):
+            fired |= 256
+        return fired
 
 
-def votes_of(text: str | None, words: frozenset[str], starts: frozenset[str]) -> int:
+def votes_of(text: str | None, cues: Cues) -> int:
     """The labellers that fire, as bits in the order of ``LABELLERS``."""
     tokens = text.split() if text else []
     n = len(tokens)
     if not n:
         return 1
     distinct = set(tokens)
-    fired = _cued(distinct, words, starts)
-    if len(_SYMBOLS.findall(text)) > max(1 if n < FEW else 0, 0.1 * n):
+    fired = cues.votes(text)
+    if len(_RUNS.findall(text)) + len(_LONE.findall(text)) > max(1 if n < FEW else 0, 0.1 * n):
         fired |= 2
     if n < FEW:  # too little for shares of words and lines
         return fired
     if sum(map(str.isupper, tokens)) > 0.2 * n:
         fired |= 4
-    if sum(map(str.__eq__, tokens, tokens[1:])) > max(2, 0.08 * n):
+    if sum(map(operator.eq, tokens, tokens[1:])) > max(2, 0.08 * n):
         fired |= 8
     if len(distinct) < 0.12 * n and n >= 30:
         fired |= 16
@@ -115,7 +128,7 @@ def posteriors(fired: np.ndarray, share: np.ndarray, chance: np.ndarray) -> np.n
 def features_of(text: str | None, votes: int) -> np.ndarray:
     """Hashed features: lower-case words, their starts, and the votes."""
     words = {t.strip(_TRIM) for t in text.lower().split()} if text else set()
-    words |= {w[:k] + "*" for w in words for k in STARTS if len(w) > k}
+    words |= {w[:k] + "*" for w in words if len(w) > STARTS[0] for k in STARTS if len(w) > k}
     mask = (1 << HASH_BITS) - 1
     hashed = {zlib.crc32(w.encode()) & mask for w in words}
     hashed = np.fromiter(hashed, np.int64, len(hashed))
@@ -126,14 +139,15 @@ def features_of(text: str | None, votes: int) -> np.ndarray:
 _WIDTH = (1 << HASH_BITS) + len(LABELLERS) + 1
 
 
-def _scores(rows: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
-    """Class chances of rows of features; hashed words share one unit of length, votes count whole."""
-    out = np.empty((len(rows), 3))
-    for i, row in enumerate(rows):
-        votes = row >= 1 << HASH_BITS
-        words = row[~votes]
-        out[i] = weights[row[votes]].sum(axis=0) + weights[words].sum(axis=0) / np.sqrt(max(len(words), 1))
-    out = np.exp(out - out.max(axis=1, keepdims=True))
+def _summed(row: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What the features of a row speak for; hashed words share one unit of length, votes count whole."""
+    votes = row >= 1 << HASH_BITS
+    words = row[~votes]
+    return weights[row[votes]].sum(axis=0) + weights[words].sum(axis=0) / np.sqrt(max(len(words), 1))
+
+
+def _chances(sums: np.ndarray) -> np.ndarray:
+    out = np.exp(sums - sums.max(axis=1, keepdims=True))
     return out / out.sum(axis=1, keepdims=True)
 
 
@@ -191,11 +205,11 @@ class Model:
         self.words, self.starts, self.share, self.chance, self.weights = words, starts, share, chance, weights
 
 
-def _vote(words: frozenset[str], starts: frozenset[str]):
+def _vote(cues: Cues):
     @F.pandas_udf("int")
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([votes_of(t, words, starts) for t in texts], dtype="int32")
+            yield pd.Series([votes_of(t, cues) for t in texts], dtype="int32")
 
     return vote
 
@@ -204,7 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = TRAINING
     """Learns from votes on all documents; ``labels`` (doc_id, toxic) only gives cues and may be missing or empty."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     words, starts = mine_cues(docs, labels) if labels is not None else (frozenset(), frozenset())
-    counted = docs.select(_vote(words, starts)("text").alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    cues = Cues(words, starts)
+    counted = docs.select(_vote(cues)("text").alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).toPandas()
     share, chance = learn_accuracies(counted["votes"].to_numpy(np.int64), counted["n"].to_numpy(float))
     total = int(counted["n"].sum()) if len(counted) else 0
     steps = 1 << 30
@@ -213,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = TRAINING
     @F.pandas_udf("votes int, features binary")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            votes = [votes_of(t, words, starts) for t in texts]
+            votes = [votes_of(t, cues) for t in texts]
             rows = [features_of(t, v).astype(np.int32).tobytes() for t, v in zip(texts, votes)]
             yield pd.DataFrame({"votes": votes, "features": rows})
 
@@ -226,13 +241,16 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = TRAINING
 
 def judged(model: Model, text: Column) -> Column:
     """Struct of votes, the three class chances by the scorer, and keep (clean is likelier than not)."""
-    words, starts, weights = model.words, model.starts, model.weights.astype(np.float32)
+    cues, weights = Cues(model.words, model.starts), model.weights.astype(np.float32)
 
     @F.pandas_udf("votes int, clean double, junk double, toxic double, keep boolean")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            votes = [votes_of(t, words, starts) for t in texts]
-            scores = _scores([features_of(t, v) for t, v in zip(texts, votes)], weights)
+            votes, sums = np.empty(len(texts), np.int32), np.empty((len(texts), 3))
+            for i, text in enumerate(texts):  # a text's features are gone before the next one is read
+                votes[i] = votes_of(text, cues)
+                sums[i] = _summed(features_of(text, int(votes[i])), weights)
+            scores = _chances(sums)
             yield pd.DataFrame({"votes": votes, "clean": scores[:, 0], "junk": scores[:, 1], "toxic": scores[:, 2], "keep": scores[:, 0] >= 0.5})
 
     return judge(text.cast("string"))

@@ -162,3 +162,52 @@ def test_many_live_secrets_in_one_text(spark):
     words = got[1].split()
     assert got[2] == "clean é" and len(words) == 4_000 and time.time() - began < 30
     assert sum("REDACTED" in w for w in words) > 3_000 and all("REDACTED" in w or w in text for w in words)
+
+
+def plain_votes(text, words, starts):
+    """The labellers as they are described, one token after the other."""
+    import re
+
+    from fleetlens.llm.quality import _TRIM, FEW, STARTS
+
+    tokens = text.split() if text else []
+    n, fired = len(tokens), 0
+    if not n:
+        return 1
+    bare = {t.lower().strip(_TRIM) for t in tokens}
+    symbols = len(re.findall(r"[^\w\s]{2,}|(?<=\s)[|~^<>=*#](?=\s)", text))
+    lines = [line for line in text.split("\n") if line.strip()]
+    fired |= 128 * bool(words & bare) | 256 * bool(starts & {b[:k] for b in bare for k in STARTS if len(b) >= k})
+    fired |= 2 * (symbols > max(1 if n < FEW else 0, 0.1 * n))
+    if n < FEW:
+        return fired
+    fired |= 4 * (sum(t.isupper() for t in tokens) > 0.2 * n) | 8 * (sum(a == b for a, b in zip(tokens, tokens[1:])) > max(2, 0.08 * n))
+    fired |= 16 * (len(set(tokens)) < 0.12 * n and n >= 30) | 32 * (len(lines) >= 4 and len(set(lines)) < 0.5 * len(lines))
+    return fired | 64 * (not 2 <= len(text) / n - 1 <= 25)
+
+
+def test_votes_of_odd_texts():
+    import random
+
+    from fleetlens.llm.quality import Cues, votes_of
+
+    rng = random.Random(1)
+    chars = "ab AB.,|~^<>=*# \n\t\x1c\x85\xa0　éΣİßﬁ_9-!?'\"()[]中😀"
+    texts = [None, "", "|", " | ", "| |", "## #", "ΑΣ ΑΣ. ΣΑ", "a\n" * 20] + ["".join(rng.choice(chars) for _ in range(rng.randrange(40))) for _ in range(5000)]
+    for words, starts in ((set(), set()), ({"ab", "a", "éa", "(a"}, {"abab", "baabb"})):
+        cues = Cues(frozenset(words), frozenset(starts))
+        got = [votes_of(t, cues) for t in texts]
+        assert got == [plain_votes(t, words, starts) for t in texts] and len(set(got)) > 8
+
+
+def test_words_are_gone_through_only_near_a_cue():
+    from fleetlens.llm.quality import Cues
+
+    class Asked(frozenset):
+        def isdisjoint(self, other):
+            raise AssertionError("no cue stands in this text")
+
+    cues = Cues(Asked({"abcd"}), frozenset({"wxyz"}))
+    assert cues.votes("some xabcd and awxyz " * 50) == 0
+    with pytest.raises(AssertionError):
+        cues.votes("some (abcd")
