@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding with recursive SQL in DuckDB, run on each partition.
 
-The bytes of a piece are token-position rows, which join the merge table; a recursive query contracts the leftmost pairs of
-least rank until no pair is left, and ordered aggregation gives ids and decoded bytes. Every piece, of whatever length, takes
-this way, once while a worker remembers it. Documents are put together from their pieces.
+A piece's sequence of tokens is a string with one character a token; its pairs join the merge table, and a recursive query
+contracts the pairs of least rank until no pair is left; ordered aggregation gives ids and decoded bytes. Every piece, of
+whatever length, takes this way, once while a worker remembers it. Documents are put together from their pieces.
 
 Two bytes that stand side by side in no token are never merged, so a piece is cut between such bytes and each part is a
-sequence of its own; of equal ranks in a sequence the leftmost pairs that do not overlap are contracted in one step, which is
-what contracting them one after the other gives. So steps follow the number of different ranks in a part, not its length.
+sequence of its own. In one step all places of a pair are contracted, from the left, which is what contracting them one after
+the other gives. Where pairs that differ give the same token and may share one, only the leftmost is contracted. So steps
+follow the number of different pairs in a part, not its length.
 """
 
 from __future__ import annotations
@@ -26,45 +27,47 @@ from fleetlens.llm.words import Remembered, joinable, parts_of, piece_splitter,
 #: Bytes that one recursive query takes (or one piece of more), and pieces and words a worker remembers.
 QUERY_BYTES, KNOWN = 200_000, 250_000
 
-# g is a token's sequence and, in the lower 40 bits, its place in bytes
+# A token is the character FIRST + id. A pair's rule is its rank and, in the lower 16 bits, where it cuts the token: the least
+# rule of a part is contracted, or, of tangled ones, the pair at the least spot.
+FIRST = 0x10000
 _CONTRACT = """
-WITH RECURSIVE t(step, g, tok, len) AS (
-    SELECT 0, (part::BIGINT << 40) | pos, tok, 1 FROM parts
+WITH RECURSIVE t(part, tokens) AS (
+    SELECT part, tokens FROM parts
     UNION ALL
     (
         WITH pair AS (
-            SELECT p.g, p.other, p.len, m.rank
-            FROM (
-                SELECT a.g, b.g AS other, a.len + b.len AS len, (a.tok::BIGINT << 32) | b.tok AS duo
-                FROM t a JOIN t b ON b.g = a.g + a.len
-            ) p
-            JOIN merges m USING (duo)
+            SELECT part, unnest(chars[:-2]) || unnest(chars[2:]) AS duo, unnest(range(len(chars) - 1)) AS spot
+            FROM (SELECT part, string_split(tokens, '') AS chars FROM t WHERE length(tokens) > 1)
         ),
-        best AS (SELECT g >> 40 AS part, min(rank) AS rank FROM pair GROUP BY 1),
-        hit AS (
-            SELECT g, other, len, pair.rank AS rank, row_number() OVER (ORDER BY g) AS n,
-                lag(other) OVER (ORDER BY g) IS DISTINCT FROM g AS first
-            FROM pair JOIN best ON best.part = g >> 40 AND best.rank = pair.rank
-        ),
-        picked AS (
-            SELECT g, other, len, rank
-            FROM (SELECT *, max(CASE WHEN first THEN n END) OVER (ORDER BY g ROWS UNBOUNDED PRECEDING) AS start FROM hit)
-            WHERE (n - start) % 2 = 0
-        ),
-        change AS (SELECT g, rank AS tok, len FROM picked UNION ALL SELECT other, -1, 0 FROM picked)
-        SELECT t.step + 1, t.g, coalesce(c.tok, t.tok), coalesce(c.len, t.len)
-        FROM t JOIN best ON best.part = t.g >> 40 LEFT JOIN change c ON c.g = t.g
-        WHERE c.tok IS NULL OR c.tok >= 0
+        best AS (
+            SELECT part, min(rule) AS least, max(rule - (rule >> 16 << 17)) AS most, min((rule >> 16 << 32) | spot) & 4294967295 AS spot
+            FROM pair JOIN merges USING (duo) GROUP BY part
+        )
+        SELECT part, CASE
+            WHEN tangled AND least & 65535 <> most + (least >> 16 << 16) THEN tokens[:spot] || token || tokens[spot + 3:]
+            ELSE replace(tokens, duo, token)
+        END
+        FROM t JOIN best USING (part) JOIN merges ON rule = least
     )
 )
-SELECT l.piece, count(*) AS n, string_agg(text, ' ' ORDER BY g) AS ids, string_agg(hex, '' ORDER BY g) AS hex
-FROM t
-JOIN (SELECT g >> 40 AS part, max(step) AS last FROM t GROUP BY 1) e ON e.part = t.g >> 40 AND e.last = t.step
-JOIN pieces l ON l.part = t.g >> 40
-JOIN vocabulary v ON v.id = tok
+SELECT l.piece, count(*) AS n, array_to_string(list(text ORDER BY g), ' ') AS ids,
+    array_to_string(list(hex ORDER BY g), '') AS hex
+FROM (
+    SELECT part, unnest(chars) AS token, (part << 32) | unnest(range(len(chars))) AS g
+    FROM (SELECT part::BIGINT AS part, string_split(arg_min(tokens, length(tokens)), '') AS chars FROM t GROUP BY part)
+)
+JOIN pieces l USING (part)
+JOIN vocabulary v USING (token)
 GROUP BY l.piece
 """
 
+_MERGES = """
+CREATE TABLE merges AS
+SELECT chr((first + a)::INT) || chr((first + b)::INT) AS duo, chr((first + rank)::INT) AS token, (rank << 16) | cut AS rule,
+    EXISTS (SELECT 1 FROM splits o WHERE o.rank = s.rank AND o.cut <> s.cut AND (o.a = s.b OR o.b = s.a)) AS tangled
+FROM (SELECT *, $first::BIGINT AS first FROM splits) s
+"""
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and their ranks, one token a line."""
@@ -81,25 +84,28 @@ class Coder:
         ranks = read_ranks(path)
         self.words, self.pieces = word_splitter(pattern), piece_splitter(pattern)
         self.joinable = joinable(ranks)
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_tokens = [chr(FIRST + ranks[bytes([b])]) for b in range(256)]
         self.con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB"})
         pairs = [
-            ((ranks[token[:cut]] << 32) | ranks[token[cut:]], rank)
+            (ranks[token[:cut]], ranks[token[cut:]], rank, cut)
             for token, rank in ranks.items()
             for cut in range(1, len(token))
             if token[:cut] in ranks and token[cut:] in ranks
         ]
-        merges = pd.DataFrame(pairs, columns=["duo", "rank"])  # noqa: F841
+        self.con.register("splits", pd.DataFrame(pairs, columns=["a", "b", "rank", "cut"], dtype="int64"))
+        self.con.execute(_MERGES, {"first": FIRST})
+        self.con.unregister("splits")
         vocabulary = pd.DataFrame({"id": ranks.values(), "text": map(str, ranks.values()), "hex": map(bytes.hex, ranks)})  # noqa: F841
-        self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
-        self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
+        self.con.execute("CREATE TABLE vocabulary AS SELECT *, chr($first::INT + id::INT) AS token FROM vocabulary", {"first": FIRST})
         self.known_words, self.known_pieces = Remembered(KNOWN), Remembered(KNOWN)
 
     def _contract(self, raws: list[bytes]) -> list[tuple[int, str, bytes]]:
         """Number of ids, ids as text, and decoded bytes of each piece."""
         flat = np.frombuffer(b"".join(raws), np.uint8)
-        owner, part, place = parts_of(flat, np.fromiter(map(len, raws), np.int64, len(raws)), self.joinable)
-        self.con.register("parts", pd.DataFrame({"part": part, "pos": place, "tok": self.byte_ids[flat]}))
+        owner, _, place = parts_of(flat, np.fromiter(map(len, raws), np.int64, len(raws)), self.joinable)
+        tokens = "".join(map(self.byte_tokens.__getitem__, flat.tolist()))
+        ends = [*np.flatnonzero(place == 0).tolist(), len(flat)]
+        self.con.register("parts", pd.DataFrame({"part": np.arange(len(owner)), "tokens": [tokens[i:j] for i, j in zip(ends, ends[1:])]}))
         self.con.register("pieces", pd.DataFrame({"part": np.arange(len(owner)), "piece": owner}))
         found = self.con.execute(_CONTRACT).fetchnumpy()
         self.con.unregister("parts")
@@ -138,7 +144,7 @@ class Coder:
                 here[word] = (sum(f[0] for f in found), " ".join([f[1] for f in found]), b"".join([f[2] for f in found]))
         self.known_words.keep(here, new)
         for words in split:
-            yield [here[w] for w in words]
+            yield list(map(here.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -214,9 +220,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             rows = []
             for part in _small(texts):
                 for pieces in _coder(path, pattern).batch(part):
-                    ids = " ".join([p[1] for p in pieces])
-                    raw = b"".join([p[2] for p in pieces])
-                    rows.append((sum([p[0] for p in pieces]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
+                    counts, texts_of_ids, raws = zip(*pieces) if pieces else ((), (), ())
+                    ids, raw = " ".join(texts_of_ids), b"".join(raws)
+                    rows.append((sum(counts), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col).cast("string")).alias("d")).select("doc_id", "d.*")

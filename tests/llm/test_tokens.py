@@ -130,3 +130,67 @@ def test_long_text_is_aligned_whole(spark, library):
     row = align_tokens(docs, A, B).select("n_a", F.length("groups").alias("n")).first()
     library.encode_special_tokens = True
     assert row.n_a == len(library.encode(" " + text, add_special_tokens=False).ids) and row.n > row.n_a
+
+
+def small_vocabulary(folder, size=400):
+    """Ranks trained on texts of few letters, so that many pairs make the same token; their file."""
+    import base64
+
+    rng = random.Random(8)
+    seqs = [[bytes([b]) for b in "".join(rng.choice("aabn") for _ in range(rng.randrange(2, 30))).encode()] for _ in range(300)]
+    ranks = {bytes([b]): b for b in range(256)}
+    while len(ranks) < size:
+        pairs = {}
+        for s in seqs:
+            for pair in zip(s, s[1:]):
+                pairs[pair] = pairs.get(pair, 0) + 1
+        a, b = max(sorted(p for p in pairs if p[0] + p[1] not in ranks), key=pairs.get)
+        ranks[a + b] = len(ranks)
+        seqs = [contracted(s, ranks, ranks[a + b]) for s in seqs]
+    with open(f"{folder}/ranks", "wb") as out:
+        out.writelines(base64.b64encode(t) + f" {r}\n".encode() for t, r in ranks.items())
+    return f"{folder}/ranks", ranks
+
+
+def contracted(tokens, ranks, rank):
+    out = []
+    for token in tokens:
+        if out and ranks.get(out[-1][0] + token) == rank and out[-1][1]:
+            out[-1] = (out[-1][0] + token, False)
+        else:
+            out.append((token, True))
+    return [t for t, _ in out]
+
+
+def plain_bpe(raw, ranks):
+    """The leftmost pair of least rank, one after the other."""
+    tokens = [bytes([b]) for b in raw]
+    while True:
+        known = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if a + b in ranks]
+        if not known:
+            return [ranks[t] for t in tokens]
+        _, i = min(known)
+        tokens[i : i + 2] = [tokens[i] + tokens[i + 1]]
+
+
+def test_contraction_is_the_plain_one(folder):
+    from fleetlens.llm.byte_bpe import Coder
+
+    path, ranks = small_vocabulary(folder)
+    coder, rng = Coder(path, BYTE_LEVEL), random.Random(9)
+    assert coder.con.execute("SELECT count_if(tangled) FROM merges").fetchall()[0][0] > 20
+    raws = ["".join(rng.choice("aabnc ") for _ in range(rng.randrange(1, 60))).encode() for _ in range(1500)] + [b"a" * 999, b"ab" * 300, b"banana" * 90]
+    want = [plain_bpe(raw, ranks) for raw in raws]
+    assert coder._contract(raws) == [(len(w), " ".join(map(str, w)), raw) for w, raw in zip(want, raws)]
+
+
+def test_a_step_keeps_one_row_a_part(folder):
+    import pandas as pd
+
+    from fleetlens.llm import byte_bpe
+
+    path, ranks = small_vocabulary(folder)
+    coder = byte_bpe.Coder(path, BYTE_LEVEL)
+    coder.con.register("parts", pd.DataFrame({"part": [0, 1], "tokens": ["".join(coder.byte_tokens[b] for b in raw) for raw in (b"ab" * 40, b"c")]}))
+    steps = coder.con.execute(byte_bpe._CONTRACT.partition("SELECT l.piece")[0] + "SELECT part, count(*) FROM t GROUP BY part").fetchall()
+    assert dict(steps)[1] == 1 and dict(steps)[0] < 40
