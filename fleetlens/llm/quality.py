@@ -48,18 +48,16 @@ class Cues:
 
     def __init__(self, words: frozenset[str], starts: frozenset[str]) -> None:
         self.words, self.starts = words, starts
-        behind = rf"(?<![^\s{re.escape(_TRIM)}])"  # where a word may begin once its marks are off
-        self.near = [(cue, re.compile(behind + re.escape(cue)).search) for cue in sorted(words | starts)]
+        self.heads = {start[: STARTS[0]] for start in starts}
 
     def votes(self, text: str) -> int:
-        """The words are gone through only where some cue stands behind white space or marks."""
-        lowered = text.lower()
-        if not any(cue in lowered and search(lowered) for cue, search in self.near):
-            return 0
-        bare = {t.strip(_TRIM) for t in lowered.split()}
+        """Starts are cut to every length only from words that begin like one; the cost does not follow the number of cues."""
+        bare = {t.strip(_TRIM) for t in text.lower().split()}
         fired = 0 if self.words.isdisjoint(bare) else 128
-        if self.starts and not self.starts.isdisjoint({b[:k] for b in bare for k in STARTS if len(b) >= k}):
-            fired |= 256
+        if not self.heads.isdisjoint([b[: STARTS[0]] for b in bare]):
+            begun = [b for b in bare if b[: STARTS[0]] in self.heads]
+            if not self.starts.isdisjoint([b[:k] for b in begun for k in STARTS if len(b) >= k]):
+                fired |= 256
         return fired
 
 
