@@ -14,7 +14,7 @@ from fleetlens.llm.quality import keep_good
 from fleetlens.llm.queries import tokenizer
 from fleetlens.llm.secret_scan import redact_live
 from fleetlens.llm.simhash import near_groups
-from fleetlens.session import work_dir
+from fleetlens.session import bound_batches, work_dir
 
 
 def _owner() -> str:
@@ -33,6 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row is judged by its own text; repeated rows stay or go together. An empty table gives an empty one.
     """
+    bound_batches(spark)
     with owned(_owner()):
         return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -44,6 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows alike in both, one stays. Null and empty texts are copies of each other. An empty table gives an empty one.
     """
     release(spark, _owner())
+    bound_batches(spark)
     key = _unused("_near_key", docs)
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     with owned(_owner()):
@@ -80,6 +82,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes the ids, and returns digests of both; null and empty texts have no tokens."""
     release(spark, _owner())
+    bound_batches(spark)
     with owned(_owner()):
         return round_trip(docs, *tokenizer())
 

@@ -27,6 +27,9 @@ from fleetlens.llm.words import Remembered, joinable, parts_of, piece_splitter,
 #: Bytes that one recursive query takes (or one piece of more), and pieces and words a worker remembers.
 QUERY_BYTES, KNOWN = 200_000, 250_000
 
+#: What is remembered of a word: its ids as text, which decode to the word's own bytes, or else the ids and what they decode to.
+Known = str | tuple[str, bytes]
+
 # A token is the character FIRST + id. A pair's rule is its rank and, in the lower 16 bits, where it cuts the token: the least
 # rule of a part is contracted, or, of tangled ones, the pair at the least spot.
 FIRST = 0x10000
@@ -115,7 +118,7 @@ class Coder:
             out[piece] = (n, ids, bytes.fromhex(text))
         return out
 
-    def _learn_pieces(self, wanted: set[str]) -> dict[str, tuple[int, str, bytes]]:
+    def _learn_pieces(self, wanted: set[str]) -> dict[str, Known]:
         here, new = self.known_pieces.split(wanted)
         new.sort(key=len)
         raws = [piece.encode() for piece in new]
@@ -125,13 +128,14 @@ class Coder:
             while end < len(new) and size + len(raws[end]) <= QUERY_BYTES:
                 size += len(raws[end])
                 end += 1
-            here.update(zip(new[start:end], self._contract(raws[start:end])))
+            for piece, raw, (_, ids, decoded) in zip(new[start:end], raws[start:end], self._contract(raws[start:end])):
+                here[piece] = ids if decoded == raw else (ids, decoded)
             start = end
         self.known_pieces.keep(here, new)
         return here
 
-    def batch(self, texts) -> Iterator[list[tuple[int, str, bytes]]]:
-        """For each text its words' number of ids, ids as text, and decoded bytes."""
+    def _learn(self, texts) -> tuple[list[list[str]], dict[str, str], dict[str, bytes]]:
+        """Each text's words, each word's ids as text, and of words whose ids decode to other bytes than their own, those."""
         split = [self.words(text) if text else [] for text in texts]
         here, new = self.known_words.split(set().union(*split))
         pieces = {word: self.pieces(word) for word in new}
@@ -140,11 +144,28 @@ class Coder:
             found = [of_piece[p] for p in held]
             if len(found) == 1:
                 here[word] = found[0]
+            elif tuple not in map(type, found):
+                here[word] = " ".join(found)
             else:
-                here[word] = (sum(f[0] for f in found), " ".join([f[1] for f in found]), b"".join([f[2] for f in found]))
+                both = [(f, p.encode()) if isinstance(f, str) else f for f, p in zip(found, held)]
+                here[word] = (" ".join([f[0] for f in both]), b"".join([f[1] for f in both]))
         self.known_words.keep(here, new)
+        other = {word: found[1] for word, found in here.items() if type(found) is tuple}
+        return split, here | {word: here[word][0] for word in other} if other else here, other
+
+    def batch(self, texts) -> Iterator[list[tuple[int, str, bytes]]]:
+        """For each text its words' number of ids, ids as text, and decoded bytes."""
+        split, ids, other = self._learn(texts)
+        for words in split:
+            yield [(ids[w].count(" ") + 1, ids[w], other[w] if w in other else w.encode()) for w in words]
+
+    def joined(self, texts) -> Iterator[tuple[int, str, bytes]]:
+        """For each text the number of its ids, the ids as text, and the bytes they decode to."""
+        split, ids, other = self._learn(texts)
         for words in split:
-            yield list(map(here.__getitem__, words))
+            raw = b"".join([other[w] if w in other else w.encode() for w in words]) if other else "".join(words).encode()
+            text = " ".join(map(ids.__getitem__, words))
+            yield text.count(" ") + 1 if words else 0, text, raw
 
 
 @lru_cache(maxsize=2)
@@ -219,10 +240,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for texts in batches:
             rows = []
             for part in _small(texts):
-                for pieces in _coder(path, pattern).batch(part):
-                    counts, texts_of_ids, raws = zip(*pieces) if pieces else ((), (), ())
-                    ids, raw = " ".join(texts_of_ids), b"".join(raws)
-                    rows.append((sum(counts), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
+                for n, ids, raw in _coder(path, pattern).joined(part):
+                    rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col).cast("string")).alias("d")).select("doc_id", "d.*")

@@ -8,6 +8,9 @@ from functools import cache
 
 from pyspark.sql import SparkSession
 
+#: Most bytes of texts that go to Python at once; a task holds some four copies of a batch, half of them in Python.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "3m"
+
 
 def build_session(master: str | None = None, app: str = "fleetlens", **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for; a cluster's own settings win."""
@@ -18,6 +21,7 @@ def build_session(master: str | None = None, app: str = "fleetlens", **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        BATCH_SETTING: BATCH_BYTES,
         **conf,
     }
     for key, value in settings.items():
@@ -25,6 +29,12 @@ def build_session(master: str | None = None, app: str = "fleetlens", **conf: str
     return builder.getOrCreate()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches for Python end at ``BATCH_BYTES`` from now on, unless the session says otherwise; rows do not depend on it."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 @cache
 def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="fleetlens-")

@@ -237,3 +237,21 @@ def test_unknown_ids_decode_to_null(spark):
     coded = spark.createDataFrame([(1, [0, 50300]), (2, [None, 5]), (3, None), (4, []), (5, [64, 64])], "doc_id long, ids array<int>")
     got = {r.doc_id: r.bytes for r in decode(coded, *tokenizer()).collect()}
     assert got[1] is None and got[2] is None and bytes(got[3]) == bytes(got[4]) == b"" and bytes(got[5]) == b"aa"
+
+
+def test_words_are_remembered_by_their_ids_alone(library):
+    coder = byte_bpe.Coder(*tokenizer())
+    text = "one two's three\n\nfour, five é 中文 12345 ... \U0001f600"
+    (n, ids, raw), empty = coder.joined([text, None])
+    want = library.encode_ordinary(text)
+    assert (n, ids, raw) == (len(want), " ".join(map(str, want)), text.encode()) and empty == (0, "", b"")
+    assert {type(v) for held in (coder.known_words, coder.known_pieces) for v in held.young.values()} == {str}
+
+
+def test_what_ids_decode_to_is_not_taken_from_the_text(monkeypatch):
+    coder = byte_bpe.Coder(*tokenizer())
+    plain = coder._contract
+    monkeypatch.setattr(coder, "_contract", lambda raws: [(n, ids, b"" if raw == b" two" else raw) for (n, ids, raw) in plain(raws)])
+    for _ in range(2):  # learned, then remembered
+        assert [raw for _, _, raw in coder.joined(["one two two, three", "two"])] == [b"one, three", b"two"]
+        assert b"".join(r[2] for r in next(coder.batch(["one two two, three"]))) == b"one, three"

@@ -213,3 +213,27 @@ def test_starts_are_cut_only_from_words_that_begin_like_one():
     cues = Cues(frozenset(), Asked({"wxyzab"}))
     assert cues.votes("some xabcdefg and awxyzab " * 50) == 0 and not asked
     assert cues.votes("other (WXYZabcd, words") == 256 and set(asked) == {"wxyz", "wxyza", "wxyzab", "wxyzabc"}
+
+
+def test_stages_bound_the_batches_that_go_to_python(spark):
+    from pyspark.sql import functions as F
+
+    from fleetlens.session import BATCH_SETTING
+
+    def largest(session):
+        def sizes(batches):
+            for b in batches:
+                yield b.assign(n=b["text"].str.len().sum())[["n"]]
+
+        texts = session.range(120).coalesce(1).select(F.repeat(F.lit("word "), 20_000).alias("text"))
+        return max(r.n for r in texts.mapInPandas(sizes, "n long").collect())
+
+    for stage in (corpus_pipeline.quality, corpus_pipeline.near_dedup, corpus_pipeline.tokens):
+        free, own = spark.newSession(), spark.newSession()
+        free.conf.unset(BATCH_SETTING)
+        own.conf.set(BATCH_SETTING, "7m")
+        assert largest(free) == 12_000_000
+        for session in (free, own):
+            stage(session, session.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER)
+        assert largest(free) < 4_000_000 and own.conf.get(BATCH_SETTING) == "7m"
+    release(spark, corpus_pipeline._owner())
