@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import SparkSession
 
 #: Most bytes of texts that go to Python at once; a task holds some four copies of a batch, half of them in Python.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "3m"
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "1m"
 
 
 def build_session(master: str | None = None, app: str = "fleetlens", **conf: str) -> SparkSession:
