@@ -21,6 +21,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,11 +158,11 @@ def align_words(words: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame,
 
     tasks = parts_for(words.count(), TASK_WORDS)
     total = words.select("word", "n").repartition(tasks, "word").groupBy("word").agg(F.sum("n").alias("n"))
-    found = stored(total.mapInArrow(run, schema), "aligned", by="is_pair")
+    found = stored(total.mapInArrow(run, schema), "aligned")
     return found.where("not is_pair").drop("is_pair", "a", "b", "n"), found.where("is_pair").select("part", "a", "b", "n")
 
 
-def count_links(aligned: DataFrame, pairs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def count_links(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
     """The words with n_best and count_sum: their links whose pair's corpus-wide count is its b's highest, and the counts' sum.
 
     A part's words ask for each of its pairs once.
@@ -176,9 +177,10 @@ def count_links(aligned: DataFrame, pairs: DataFrame, path_a: str, path_b: str)
         keys = right.column("a").to_numpy().astype(np.int64) << 32 | right.column("b").to_numpy()
         order = np.argsort(keys)
         keys, count, best = (x[order] for x in (keys, right.column("count").to_numpy(), right.column("best").to_numpy().astype(np.int64)))
-        links = np.frombuffer(b"".join(left.column("links").to_pylist()), _pair(path_a, path_b).link_type).reshape(-1, 2).astype(np.int64)
-        at = np.searchsorted(keys, links[:, 0] << 32 | links[:, 1])
         sizes = left.column("n_links").to_numpy()
+        raw = b"".join(left.column("links").to_pylist())
+        links = np.frombuffer(raw, f"u{len(raw) // (2 * sizes.sum())}").reshape(-1, 2).astype(np.int64)
+        at = np.searchsorted(keys, links[:, 0] << 32 | links[:, 1])
         sums = [pa.array(np.add.reduceat(x[at], np.cumsum(sizes) - sizes)) for x in (best, count)]
         return pa.table([*[left.column(c) for c in ["word", *COUNTS]], *sums, left.column("groups")], shown)
 
@@ -186,6 +188,19 @@ def count_links(aligned: DataFrame, pairs: DataFrame, path_a: str, path_b: str)
     return aligned.groupBy("part").cogroup(asked.groupBy("of_part")).applyInArrow(run, schema)
 
 
+#: Words of a text whose groups are joined at once.
+JOINED_WORDS = 1_000_000
+
+
+def _joined(groups: pa.Array, code: np.ndarray) -> Iterator[bytes]:
+    """The groups at these rows, joined by semicolons, in parts."""
+    for low in range(0, len(code), JOINED_WORDS):
+        some = groups.take(pa.array(code[low : low + JOINED_WORDS]))
+        if low:
+            yield b";"
+        yield pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), ";")[0].as_buffer().to_pybytes()
+
+
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 SUMS = [*COUNTS, "n_best", "count_sum"]
 
@@ -203,19 +218,27 @@ def align_tokens(
     other columns, whatever their names, are ignored.
     """
     words, texts = code_texts(docs, lambda: _pair(path_a, path_b).split, id_col, text_col)
-    found = count_links(*align_words(words, path_a, path_b), path_a, path_b)
-
-    def build(columns: dict[str, pa.Array], codes: list) -> dict[str, pa.Array]:
-        table = np.stack([columns[name].to_numpy(zero_copy_only=False) for name in SUMS])
-        groups = columns["groups"].to_pylist()
-        totals = np.zeros((len(codes), len(SUMS)), np.int64)
-        shown = [""] * len(codes)
-        for row, code in enumerate(codes):
-            if code is not None and len(code):
-                totals[row] = table[:, code].sum(axis=1)
-                text = ";".join([groups[c] for c in code.tolist()])
-                shown[row] = hashlib.sha256(text.encode()).hexdigest() if digest else text
-        return {name: pa.array(totals[:, i]) for i, name in enumerate(SUMS)} | {"groups": pa.array(shown, pa.string())}
+    found = count_links(*align_words(words, path_a, path_b))
+
+    def build(columns: dict[str, pa.Array], codes: Iterator) -> dict[str, pa.Array]:
+        table = [columns[name].to_numpy() for name in SUMS]
+        totals, shown = [], []
+        for code in codes:
+            if code is None or not len(code):
+                totals.append([0] * len(SUMS))
+                shown.append("")
+                continue
+            totals.append([int(column[code].sum()) for column in table])
+            parts = _joined(columns["groups"], code)
+            if digest:
+                sha = hashlib.sha256()
+                for part in parts:
+                    sha.update(part)
+                shown.append(sha.hexdigest())
+            else:
+                shown.append(b"".join(parts).decode())
+        sums = zip(*totals) if totals else [[]] * len(SUMS)
+        return {name: pa.array(column, pa.int64()) for name, column in zip(SUMS, sums)} | {"groups": pa.array(shown, pa.string())}
 
     schema = ", ".join([*[f"{name} long" for name in SUMS], "groups string"])
     return join_back(texts, words, found, build, schema)

@@ -19,6 +19,7 @@ from fleetlens.llm.sharding import shard_rows
 from fleetlens.llm.simhash import near_groups
 from fleetlens.llm.substrings import remove_repeats
 from fleetlens.llm.token_counts import count_tokens
+from fleetlens.session import bound_batches
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -114,6 +115,7 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
     documents = _table(spark, folder, "documents")
     aligned = align_tokens(documents, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), digest=True)
     return aligned.withColumn("doc_id", F.col("doc_id").cast("long")).withColumnRenamed("groups", "groups_sha256")

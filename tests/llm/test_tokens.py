@@ -5,14 +5,17 @@ import string
 import zlib
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chunks
+from fleetlens.llm import alignment, chunks
 from fleetlens.llm.alignment import Pair, align_tokens
-from fleetlens.llm.queries import vocabulary
+from fleetlens.llm.queries import op12_alignment, vocabulary
 from fleetlens.llm.token_counts import Counter, count_tokens
 from fleetlens.llm.words import BYTE_LEVEL, joinable, parts_of, piece_splitter, word_splitter
+from fleetlens.session import BATCH_BYTES, BATCH_SETTING
 
 A, B = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
 CHARS = "ab é中😀 \n\t\r\x0b\x1c\x85\xa0 '1２.,!_s\u3000\u0558\ua7ceʼn\x00"
@@ -96,6 +99,48 @@ def plain(library, pair):
     return a, b.encode, pair.bytes_a.__getitem__, pair.bytes_b.__getitem__
 
 
+def chunked(docs):
+    """Each row's words as coded, by id, and how many chunks there are."""
+    words, texts = chunks.code_texts(docs, lambda: lambda text: None if text == "no" else text.split(), "doc_id", "text")
+    named = {(r.chunk, r.place): r.word for r in words.collect()}
+    rows = texts.collect()
+    found = {r.doc_id: None if r.codes is None else [named[r.chunk, c] for c in chunks.unpack(r.codes).tolist()] for r in rows}
+    return found, len(rows), len({r.chunk for r in rows})
+
+
+@pytest.mark.parametrize("most, number", [(chunks.CHUNK_WORDS, 1), (40, 10)])
+def test_chunk_goes_on_over_batches(spark, monkeypatch, most, number):
+    """Batches for Python may be small: a chunk's size is its own, and ends with its distinct words too."""
+    monkeypatch.setattr(chunks, "CHUNK_WORDS", most)
+    texts = [f"a w{i} v{i} a" if i % 5 else [None, "", "no"][i % 3] for i in range(250)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(setting, 7)
+    try:
+        found, rows, count = chunked(docs)
+    finally:
+        spark.conf.unset(setting)
+    assert rows == len(texts) and found == {i: None if t == "no" else (t or "").split() for i, t in enumerate(texts)}
+    assert count == 1 if number == 1 else count >= number
+
+
+def test_groups_are_joined_in_parts(monkeypatch):
+    groups, code = pa.array([f"{i},{i}|{i}é" for i in range(9)]), np.array([8, 0, 0, 3, 5, 1, 7], np.int32)
+    for most in (1, 3, 7, 100):
+        monkeypatch.setattr(alignment, "JOINED_WORDS", most)
+        assert b"".join(alignment._joined(groups, code)).decode() == ";".join(groups[i].as_py() for i in code.tolist())
+
+
+def test_alignment_takes_small_batches(spark, folder):
+    """The query bounds the texts that a worker and its executor hold at once, unless the session says how."""
+    spark.createDataFrame([(1, "unbelievable")], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    free, own = spark.newSession(), spark.newSession()
+    free.conf.unset(BATCH_SETTING)
+    own.conf.set(BATCH_SETTING, "7m")
+    assert [op12_alignment(x, folder).count() for x in (free, own)] == [1, 1]
+    assert [x.conf.get(BATCH_SETTING, None) for x in (free, own)] == [BATCH_BYTES, "7m"]
+
+
 @pytest.mark.parametrize("chars", [chunks.CHUNK_CHARS, 300])
 def test_alignment_of_whole_texts(spark, library, monkeypatch, chars):
     monkeypatch.setattr(chunks.code_texts, "__defaults__", (chars,))
